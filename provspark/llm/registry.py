@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import bpe, licenses, toxicity
+from provspark.llm import bpe, chat, licenses, spotsigs, toxicity
 from provspark.llm.common import documents
 
 
@@ -20,10 +20,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_edits(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -34,8 +42,8 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_license_scan, op7_toxicity, op8_bpe_transducer)}
+    return {f.__name__: f for f in (op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle()}
+    return {"op3_chat_format": chat.oracle(), "op5_license_scan": licenses.oracle()}
