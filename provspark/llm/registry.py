@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import bpe, chat, licenses, spotsigs, toxicity
+from provspark.llm import bpe, chat, licenses, mixing, spotsigs, toxicity
 from provspark.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
@@ -42,8 +46,8 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer)}
+    return {f.__name__: f for f in (op2_curriculum_mix, op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.oracle(), "op5_license_scan": licenses.oracle()}
+    return {"op2_curriculum_mix": mixing.oracle(), "op3_chat_format": chat.oracle(), "op5_license_scan": licenses.oracle()}
