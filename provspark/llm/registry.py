@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import bpe, chat, licenses, mixing, spotsigs, toxicity
+from provspark.llm import bpe, chat, licenses, mixing, spotsigs, toxicity, warc
 from provspark.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_curriculum_mix, op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer)}
 
 
 def oracle_sql() -> dict[str, str]:
