@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import bpe, chat, embedding_dedup, licenses, mixing, spotsigs, toxicity, warc
+from provspark.llm import bpe, chat, embedding_dedup, licenses, minhash_dedup, mixing, spotsigs, toxicity, warc
 from provspark.llm.common import documents
 
 
@@ -53,8 +53,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), k=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer, op9_embedding_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
