@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import bpe, chat, embedding_dedup, licenses, minhash_dedup, mixing, spotsigs, toxicity, warc
+from provspark.llm import bpe, chat, embedding_dedup, licenses, minhash_dedup, mixing, spotsigs, suffix_dedup, toxicity, warc
 from provspark.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -58,7 +62,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer, op9_embedding_dedup, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op4_suffix_dedup, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer, op9_embedding_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
