@@ -287,10 +287,11 @@ def repeats(fitting: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(row, start, stop) of repeated bytes of docs (row, text), and the tables it reads from."""
-    every = all_pieces(docs)
-    # Cores met twice or more; the spans of pieces that are all equal need nothing else.
-    met = every.groupBy("core").agg(F.count("*").alias("c"), (F.min("print") == F.max("print")).alias("equal")).filter("c > 1").drop("c")
+    every = cut(all_pieces(docs), "all-pieces")
+    # Cores met twice or more; the spans of pieces that are all equal need nothing else. As a table, so that the join can split the rows of a core that is met very often.
+    met = cut(every.groupBy("core").agg(F.count("*").alias("c"), (F.min("print") == F.max("print")).alias("equal")).filter("c > 1").drop("c"), "met-cores")
     flagged = cut(every.join(met, "core"), "met-pieces")
+    drop_cut(every, met)
     start, stop = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255), F.shiftright("place", 16) - F.col("place").bitwiseAND(255) + LENGTH
     spans = [flagged.filter("equal").select("row", start.alias("start"), stop.alias("stop"))]
     mixed = flagged.filter("not equal")
