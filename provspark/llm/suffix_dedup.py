@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, cut, drop_cut, in_arrow
+from provspark.llm.common import U64, cut, drop_cut, in_arrow, small_batches
 from provspark.llm.suffix_array import suffix_array
 
 LENGTH, CORE = 200, 80
@@ -387,6 +387,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
+    small_batches(docs.sparkSession)
     whole, tables = with_spans(docs)
     drop_cut(*tables)
     out = whole.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", "spans")))

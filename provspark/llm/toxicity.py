@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import in_arrow
+from provspark.llm.common import in_arrow, small_batches
 
 THRESHOLD = 0.7
 #: Margins and weights are whole multiples of this, so that sums don't depend on the order of words.
@@ -195,4 +195,5 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for t in texts:
             yield pd.Series([s.score(x) for x in t], dtype="float64")
 
+    small_batches(docs.sparkSession)
     return docs.filter(scored(F.col("text")) < THRESHOLD)
