@@ -50,19 +50,19 @@ def resolve_day(found: DataFrame, day: str, zone: str = "UTC") -> DataFrame:
     return found.filter(F.to_date(when) == F.lit(day).cast("date")).orderBy(F.col("timestamp").desc(), "seq").limit(1)
 
 
-def resolve(spark: SparkSession, repo: str, ref: str, zone: str = "UTC") -> tuple[str, object]:
-    """(sha, time) of a day or a revision; an error names some tags."""
+def resolve(spark: SparkSession, repo: str, ref: str, zone: str = "UTC") -> tuple[str, int]:
+    """(sha, microseconds since 1970) of a day or a revision; an error names some tags."""
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", ref):
-        row = resolve_day(commits(spark, repo), ref, zone).first()
+        row = resolve_day(commits(spark, repo), ref, zone).select("sha", F.unix_micros("timestamp").alias("at")).first()
         if row is None:
             raise ValueError(f"no commit on {ref}")
-        return row["sha"], row["timestamp"]
+        return row["sha"], row["at"]
     try:
         sha = run_git(repo, "rev-parse", "--verify", f"{ref}^{{commit}}").strip()
     except ValueError:
         tags = ", ".join(run_git(repo, "tag", "--list", check=False).split()[:12])
         raise ValueError(f"unknown revision {ref}" + (f"; tags: {tags}" if tags else "")) from None
-    return sha, pd.Timestamp(run_git(repo, "show", "-s", "--format=%cI", sha).strip()).tz_convert("UTC").to_pydatetime()
+    return sha, int(run_git(repo, "show", "-s", "--format=%ct", sha)) * 1_000_000
 
 
 def files_at(repo: str, sha: str) -> list[str]:
