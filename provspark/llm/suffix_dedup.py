@@ -32,7 +32,7 @@ from provspark.llm.suffix_array import suffix_array
 LENGTH, CORE = 200, 80
 #: Core starts within a window, less one: a piece has up to SLACK + 1 windows.
 SLACK = LENGTH - CORE
-BLOCK, CROWD = 30_000, 4096
+BLOCK, CROWD = 30_000, 1024
 #: Windows of a text that are hashed at once.
 STRETCH = 1 << 19
 _LOW = U64(0xFFFFF)
@@ -296,12 +296,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     spans = [flagged.filter("equal").select("row", start.alias("start"), stop.alias("stop"))]
     mixed = flagged.filter("not equal")
     # first() of all three comes from one and the same row.
-    distinct = mixed.groupBy("core", "print").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("place").alias("place"))
+    distinct = cut(mixed.groupBy("core", "print").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("place").alias("place")), "distinct-pieces")
     want = distinct.select("row", F.struct("core", "print", (F.col("c") == 1).alias("single"), "place").alias("w")).groupBy("row").agg(F.collect_list("w").alias("want"))  # of one text
     several = distinct.filter("c > 1").select("core", "print")
     spans.append(mixed.join(several, ["core", "print"]).select("row", start.alias("start"), stop.alias("stop")))
     here = cut(cut_out(docs, want), "pieces")
-    tables = [flagged, here]
+    tables = [flagged, distinct, here]
     while True:
         crowds = here.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key")
         crowded = here.join(crowds, "key", "left_semi")
