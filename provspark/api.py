@@ -92,8 +92,11 @@ class Engine:
         last = F.lit(1 << 30)
         gone = temporal.tombstones(stamps, parsed.select("file_path", "name", "seq"))
         if stored is not None:
-            open_ = stored.filter(paths.is_live())
-            carried = open_.select("file_path", "name", F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("ordinal"), F.unix_micros("valid_from").alias("ts"), F.col("commit_sha").alias("sha"), "line_start", "line_end", F.lit(None).cast("long").alias("text_hash"), F.lit(False).alias("gone"))
+            open_ = stored.filter(paths.is_live()).join(stamps.select("file_path").distinct(), "file_path", "left_semi")
+            # What an open version's lines say is read from the commit that opened it.
+            was = open_.select(F.lit(0).cast("long").alias("seq"), F.col("commit_sha").alias("sha"), F.current_timestamp().alias("ts"), "file_path").distinct()
+            hashes = parsers.parse_files(git.snapshots(was, repo)).select("uid", "text_hash").distinct()
+            carried = open_.join(hashes, "uid", "left").select("file_path", "name", F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("ordinal"), F.unix_micros("valid_from").alias("ts"), F.col("commit_sha").alias("sha"), "line_start", "line_end", "text_hash", F.lit(False).alias("gone"))
             first = stamps.groupBy("file_path").agg(F.min("seq").alias("seq"))
             at_first = stamps.join(first, ["file_path", "seq"])
             missing = open_.select("file_path", "name").join(at_first, "file_path").join(parsed.select("file_path", "name", "seq"), ["file_path", "name", "seq"], "left_anti")
@@ -106,7 +109,7 @@ class Engine:
             "uid", "kind", "name", "file_path", "line_start", "line_end", "language", "parent_uid", F.timestamp_micros("valid_from").alias("valid_from"), F.timestamp_micros("valid_to").alias("valid_to"), F.col("sha").alias("commit_sha"), "seq")
         if stored is not None:
             shut = versions.filter("seq < 0 and valid_to is not null").select("file_path", "name", F.timestamp_micros("valid_to").alias("shut"))
-            closed = stored.filter(paths.is_live()).join(shut, ["file_path", "name"]).withColumn("valid_to", F.col("shut")).withColumn("seq", F.lit(-1).cast("long"))
+            closed = open_.join(shut, ["file_path", "name"]).withColumn("valid_to", F.col("shut")).withColumn("seq", F.lit(-1).cast("long"))
             opened = opened.unionByName(closed.select(*opened.columns))
         return parsed, calls, opened.cache()
 

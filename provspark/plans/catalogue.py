@@ -680,7 +680,7 @@ def decision_json_rows(v: Lenses) -> DataFrame:
 def incremental_equals_full(v: Lenses) -> DataFrame:
     from provspark.streaming.incremental import fold_in_batches
 
-    return fold_in_batches(v.symbol_events, [v.spark.range(1).count() * 3000])
+    return fold_in_batches(v.symbol_events, [3000])
 
 
 @query()

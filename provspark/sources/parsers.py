@@ -157,8 +157,9 @@ def parse_braces(text: str, language: str) -> Parsed:
             name = m["name"]
             if name in _NO_CALL or kind == "function" and language == "cpp" and name.isupper() or m.start("name") in found:
                 continue
-            if language == "cpp" and re.match(r"\s*(?:return|else|new|delete|throw)\b", m[0]):
-                continue
+            before = m[0][: m.start("name") - m.start()].split()
+            if kind == "function" and language in ("java", "cpp") and (before[:1] and before[0] in _NO_CALL or not before and bare[m.end() : m.end() + 1] == ";"):
+                continue  # a statement, or a call
             begin = m.start() + len(m[0]) - len(m[0].lstrip())
             end = closing.get(m.end(), m.end()) if bare[m.end() : m.end() + 1] == "{" else m.end()
             found[m.start("name")] = (begin, end, kind, name, (m.groupdict().get("owner") or ""))
