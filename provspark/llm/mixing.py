@@ -109,7 +109,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("id_", "digest_").orderBy(F.lit(1))).alias("nth_")
     rows = docs.withColumns({"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "digest_": digest})
     placed = place(rows.select("doc_id", "text", "source", "id_", "digest_"), ("id_", "digest_"))
-    copies = placed.select("id_", "digest_", nth, "size", F.explode("copies").alias("copy")).filter("copy.taken * 2 >= size").select("id_", "digest_", "nth_", F.col("copy.position").alias("position_"))
+    numbered = placed.select("id_", "digest_", nth, "size", "copies")  # before the copies come apart
+    copies = numbered.select("id_", "digest_", "nth_", "size", F.explode("copies").alias("copy")).filter("copy.taken * 2 >= size").select("id_", "digest_", "nth_", F.col("copy.position").alias("position_"))
     out = rows.select("*", nth).join(copies, ["id_", "digest_", "nth_"])
     return out.repartitionByRange("position_", "id_").sortWithinPartitions("position_", "id_").select(*docs.columns)
 
