@@ -323,10 +323,6 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return out, tables
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-
-
 def merged(spans: list[int]) -> Iterator[tuple[int, int]]:
     """Maximal runs of spans, each start << 32 | length."""
     lo = hi = -1
@@ -343,11 +339,11 @@ def merged(spans: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """docs with `row` and `spans` (start << 32 | length, null for none)."""
-    rows = keyed(docs)
-    spans, tables = repeated_spans(rows.select("row", "text"))
-    by_row = spans.select("row", F.shiftleft("start", 32).bitwiseOR(F.col("stop") - F.col("start")).alias("span")).groupBy("row").agg(F.collect_set("span").alias("spans"))  # of one text
-    return rows.join(cut(by_row, "spans"), "row", "left"), tables
+    """docs with `_spans` (start << 32 | length, null for none), and the tables it was made from."""
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    spans, tables = repeated_spans(rows.select(F.col("_row").alias("row"), "text"))
+    by_row = spans.select("row", F.shiftleft("start", 32).bitwiseOR(F.col("stop") - F.col("start")).alias("span")).groupBy(F.col("row").alias("_row")).agg(F.collect_set("span").alias("_spans"))  # of one text
+    return rows.join(cut(by_row, "spans"), "_row", "left"), tables
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -368,7 +364,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     whole, tables = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     drop_cut(*tables)
-    return in_arrow(whole.select("doc_id", "text", "spans"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(whole.select("doc_id", "text", "_spans"), work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -390,7 +386,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     whole, tables = with_spans(docs)
     drop_cut(*tables)
-    out = whole.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept("text", "spans")))
+    out = whole.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
