@@ -5,9 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +22,7 @@ def spark(tmp_path_factory):
 def oracle():
     """Runs DuckDB's SQL over the smallest tables."""
     import duckdb
+    from helpers import DATA
 
     if not os.path.isdir(DATA):
         pytest.skip("no test tables here")
@@ -30,21 +30,3 @@ def oracle():
     for f in os.listdir(DATA):
         con.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
     return lambda sql: con.execute(sql).df()
-
-
-def plain(df) -> list:
-    """Rows of a pandas frame with sorted columns, in an order of their own, numbers as text of nine digits."""
-    import math
-
-    def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
-            return "~"
-        if isinstance(v, bool) or type(v).__name__ == "bool":
-            return str(bool(v))
-        if isinstance(v, (int, float)) or type(v).__name__.startswith(("int", "float", "uint")):
-            return f"{float(v):.9g}"
-        if hasattr(v, "__len__") and not isinstance(v, (str, bytes)):
-            return str([one(x) for x in v])
-        return str(v)
-
-    return sorted(tuple(one(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))

@@ -249,3 +249,13 @@ def test_working_tree(spark, tmp_path):
     (tree / "node_modules/x.js").write_text("function skipped() {}\n")
     e = Engine(spark, str(tmp_path / "wh"))
     assert {k: e.index(str(tree))[k] for k in ("nodes", "edges", "commits")} == {"nodes": 2, "edges": 1, "commits": 0}
+
+
+def test_model_answers(spark):
+    from provspark.sources.enrichment import enriched, parse_answer
+
+    assert parse_answer("no json", "commit x") is None and parse_answer('{"content": ""}', "r") is None
+    r = parse_answer('Sure: {"content": "Use x", "confidence": 0.95}', "commit x")
+    assert (r["confidence"], r["reason"], r["tier"]) == (0.7, "Use x", "decision")
+    m = spark.createDataFrame([(1, "a", "tidy up", ""), (2, "b", "use x because y", "")], "seq long, sha string, message string, file_path string")
+    assert [x["seq"] for x in enriched(m, lambda said: '{"content": "' + said + '"}').collect()] == [1]
