@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017), numpy only.
 
-A linear scorer over which words occur. Positives are rows labelled toxic; the unlabelled set is text whose labels are never looked at. With class prior p the
+A linear scorer over which words and beginnings of words occur. Positives are rows labelled toxic; the unlabelled set is text whose labels are never looked at. With class prior p the
 risk is p R_p+ + max(0, R_u- - p R_p-): when the second part falls below 0 the step climbs it again instead. Afterwards two numbers (slope and offset)
 turn the margin into a probability on labelled rows of both kinds.
 
@@ -34,8 +34,15 @@ UNIT = 1e-6
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
+#: Longer words also count by their beginnings of so many bytes, so that forms never met before are known by their stems.
+STEMS = (4, 6)
+
+
 def words_of(text: str | None) -> set[bytes]:
-    return set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
+    """Words of a text, and the beginnings of longer ones (marked by a leading `^`)."""
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split())
+    stems = {b"^" + w[:n] for n in STEMS for w in words if len(w) > n}
+    return words | stems
 
 
 @dataclass
@@ -82,7 +89,7 @@ def telling(pos: list[np.ndarray], unl: list[np.ndarray], n_slots: int, least_do
     return np.flatnonzero((p >= least_docs) & (np.abs(z) >= least_z))
 
 
-def non_negative_pu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, n_slots: int, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, float]:
+def non_negative_pu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, n_slots: int, epochs: int = 100, rate: float = 0.05, decay: float = 1e-4, batch: int = 512, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and offset that minimise the non-negative PU risk with the logistic loss, by Adam on batches that hold both kinds. pos, unl: slots of each text."""
     rng, w = np.random.default_rng(seed), np.zeros(n_slots + 1)
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
@@ -105,7 +112,7 @@ def non_negative_pu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float,
                 d_p, d_u = np.full(len(p), -prior / len(p)), as_u / len(u)
             else:
                 d_p, d_u = prior * as_p / len(p), -as_u / len(u)
-            g = np.bincount(at_p, d_p[row_p], n_slots + 1) + np.bincount(at_u, d_u[row_u], n_slots + 1)
+            g = (np.bincount(at_p, d_p[row_p], n_slots + 1) + np.bincount(at_u, d_u[row_u], n_slots + 1)).astype(float)
             g[:-1] += decay * w[:-1]
             g[-1] = d_p.sum() + d_u.sum()
             t += 1
@@ -128,8 +135,8 @@ def fold_is_held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 6000, most_calibration: int = 6000, bits: int = 20, least_docs: int = 5, least_z: float = 4.0) -> Model:
-    """Learns from docs (doc_id, text) and labels (doc_id, toxic). Only `telling` words weigh anything. What comes to the driver is slots of words of the bounded samples."""
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 6000, most_calibration: int = 6000, bits: int = 20, least_docs: int = 5, least_z: tuple[float, float] = (4.0, 6.0)) -> Model:
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic). Only `telling` words weigh anything; the more positives, the more words tell by chance, so least_z is climbed from one end to the other. What comes to the driver is slots of words of the bounded samples."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~fold_is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1):
@@ -152,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     pos, unl = [s for s, k in zip(slots, kinds) if 1 in k], [s for s, k in zip(slots, kinds) if 0 in k]
     if not pos or not unl:
         return Model(bits, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0.0, float(np.log(prior / (1 - prior))))
-    use = telling(pos, unl, 1 << bits, min(least_docs, max(2, len(pos) // 10)), least_z)
+    z_of = float(np.clip(3.2 + 0.35 * np.log(len(pos)), *least_z))
+    use = telling(pos, unl, 1 << bits, min(least_docs, max(2, len(pos) // 10)), z_of)
     place = np.full(1 << bits, -1, np.int64)
     place[use] = np.arange(len(use))
     known = lambda s: (p := place[s])[p >= 0]
