@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from provspark.functions import paths
 
-LEVELS = ("node", "link", "line", "file", "commit", "dir")
 #: Rank -> the level that is reported.
 REPORTED = ("line", "line", "line", "file", "commit", "dir")
 

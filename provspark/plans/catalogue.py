@@ -688,7 +688,7 @@ def parse_sources(v: Lenses) -> DataFrame:
     from provspark.sources.parsers import parse_files
     from provspark.sources.synthetic import generated
 
-    return parse_files(generated(v.spark, 50))
+    return parse_files(generated(v.spark, 1500))
 
 
 def queries() -> dict[str, Query]:
