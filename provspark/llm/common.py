@@ -86,6 +86,17 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str =
     return big.join(small, on, how)
 
 
+def place_among(column: F.Column, cuts: list) -> F.Column:
+    """How many of the ascending cuts are at most the column: among every s-th first, then among the s behind it (s: root of their number)."""
+    if not cuts:
+        return F.lit(0)
+    s = int(np.ceil(np.sqrt(len(cuts))))
+    every, coarse = (F.array(*map(F.lit, c)) for c in (cuts, cuts[::s]))
+    count = lambda held: F.aggregate(held, F.lit(0), lambda n, c: n + (column >= c).cast("int"))
+    before = F.greatest(count(coarse) - 1, F.lit(0)) * s
+    return before + count(F.slice(every, before + 1, F.lit(s)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)

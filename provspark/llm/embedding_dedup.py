@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import components, cut, drop_cut, in_arrow
+from provspark.llm.common import components, cut, drop_cut, in_arrow, place_among
 
 THRESHOLD = 0.9
 #: Rows of a tile. A task holds two tiles and a product of CHUNK rows of one with the other.
@@ -85,8 +85,7 @@ def tiles(reps: DataFrame, axes: dict[int, np.ndarray], n_tiles: int) -> DataFra
 
     led = cut(in_arrow(reps.select("id", "weight", "embedding"), lead, "id long, weight long, embedding array<double>, d long, lead double"), "leads")
     cuts = led.stat.approxQuantile("lead", [k / n_tiles for k in range(1, n_tiles)], 0.1 / n_tiles) if n_tiles > 1 else []  # as many as tiles
-    tile = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (F.col("lead") >= c).cast("int")) if cuts else F.lit(0)
-    dealt = led.withColumn("cut", tile).repartition("d", "cut").sortWithinPartitions("d", "cut", "lead", "id")
+    dealt = led.withColumn("cut", place_among(F.col("lead"), sorted(cuts))).repartition("d", "cut").sortWithinPartitions("d", "cut", "lead", "id")
     numbered = dealt.select("id", "weight", "embedding", "d", "lead", "cut", F.spark_partition_id().alias("part"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.llm.common import U64, in_arrow, mix
+from provspark.llm.common import U64, in_arrow, mix, place_among
 
 #: Common words of four languages.
 COMMON = frozenset(
@@ -108,7 +108,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = sorted(set(d.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))  # as many as ranges
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(_place(F.col("doc_id"), [int(c) for c in cuts]))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place_among(F.col("doc_id"), [int(c) for c in cuts]))
     firsts = sorted((r["bucket"], r["least"]) for r in d.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("least")).collect())  # one a range
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
@@ -152,13 +152,6 @@ _KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.floa
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _place(column: F.Column, cuts: list[int]) -> F.Column:
-    """How many of the ascending cuts are at most the column."""
-    if not cuts:
-        return F.lit(0)
-    return F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + (column >= c).cast("int"))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sigs, sigs): the signature set of each row of docs, as longs."""
 

@@ -240,3 +240,12 @@ def test_pruned_likeness(a):
         j = spotsigs.likeness(a, b)
         for least in (0.3, 0.75, 0.9):
             assert spotsigs.reaches(a, b, least) == (j if j >= least else None)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 17])
+def test_place_among(spark, n):
+    from provspark.llm.common import place_among
+
+    cuts = sorted({(7 * i) % 40 for i in range(n)})
+    rows = spark.range(-2, 45).select("id", place_among(mixing.F.col("id"), cuts).alias("p")).collect()
+    assert [r["p"] for r in rows] == np.searchsorted(cuts, [r["id"] for r in rows], side="right").tolist()
