@@ -83,7 +83,10 @@ def slot(word: bytes, bits: int) -> int:
 
 def telling(pos: list[np.ndarray], unl: list[np.ndarray], n_slots: int, least_docs: int, least_z: float) -> np.ndarray:
     """Slots of words that lie in at least least_docs positives and in another share of them than of the unlabelled, by least_z standard errors."""
-    p, u = (np.bincount(np.concatenate(rows), minlength=n_slots) for rows in (pos, unl))
+    p, u = np.zeros(n_slots, np.int32), np.zeros(n_slots, np.int32)
+    for seen, rows in ((p, pos), (u, unl)):
+        for r in rows:
+            seen[r] += 1  # a text has a slot once
     both = (p + u + 1) / (len(pos) + len(unl) + 2)
     z = (p / len(pos) - u / len(unl)) / np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / len(unl)))
     return np.flatnonzero((p >= least_docs) & (np.abs(z) >= least_z))
@@ -152,22 +155,24 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     )
     chosen = chosen.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))  # bounded by the samples
     rows = _slots(d.join(F.broadcast(chosen), "doc_id").select("kinds", "text"), bits).toArrow()
-    slots = [np.frombuffer(b, np.int32).astype(np.int64) for b in rows.column("slots").to_pylist()]
+    slots = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("slots")]  # views, no copies
     kinds = rows.column("kinds").to_pylist()
-    order_ = sorted(range(len(slots)), key=lambda i: (kinds[i] and sorted(kinds[i]), slots[i].tobytes()))  # rows come in any order
+    order_ = sorted(range(len(slots)), key=lambda i: (sorted(kinds[i]), xxhash.xxh3_128_digest(slots[i])))  # rows come in any order
     slots, kinds = [slots[i] for i in order_], [kinds[i] for i in order_]
     pos, unl = [s for s, k in zip(slots, kinds) if 1 in k], [s for s, k in zip(slots, kinds) if 0 in k]
     if not pos or not unl:
         return Model(bits, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0.0, float(np.log(prior / (1 - prior))))
     z_of = float(np.clip(3.2 + 0.35 * np.log(len(pos)), *least_z))
     use = telling(pos, unl, 1 << bits, min(least_docs, max(2, len(pos) // 10)), z_of)
-    place = np.full(1 << bits, -1, np.int64)
+    place = np.full(1 << bits, -1, np.int32)
     place[use] = np.arange(len(use))
-    known = lambda s: (p := place[s])[p >= 0]
-    w, b = non_negative_pu([known(s) for s in pos], [known(s) for s in unl], prior, len(use))
+    known = lambda s: (p := place[s])[p >= 0].astype(np.int64)
+    cal = [(known(s), int(3 in k)) for s, k in zip(slots, kinds) if 2 in k or 3 in k]
+    pos, unl = [known(s) for s in pos], [known(s) for s in unl]
+    del rows, slots, kinds  # all words of the sample; from here on only those that tell
+    w, b = non_negative_pu(pos, unl, prior, len(use))
     units, offset = np.rint(w / UNIT).astype(np.int64), round(b / UNIT)
-    cal = [(s, int(3 in k)) for s, k in zip(slots, kinds) if 2 in k or 3 in k]
-    z = np.array([(offset + units[known(s)].sum()) * UNIT for s, _ in cal])
+    z = np.array([(offset + units[s].sum()) * UNIT for s, _ in cal])
     slope, shift = calibrate(z, np.array([y for _, y in cal])) if len({y for _, y in cal}) == 2 else (1.0, 0.0)
     return Model(bits, use[units != 0], units[units != 0], offset, slope, shift)
 
