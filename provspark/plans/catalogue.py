@@ -587,6 +587,13 @@ def supersede_pairs(v: Lenses) -> DataFrame:
     return conflicts.supersede(v.disputes.filter("seq % 50 < 3 or (content like 'supersede%' and seq % 300 < 5)")).select("uid_a", "uid_b")
 
 
+@query("""c as (select uid, lower(content || ' ' || reason || ' ' || source_ref) as blob from disputes where contains(lower(content || ' ' || reason || ' ' || source_ref), 'supersede'))
+select distinct c.uid as uid_a, b.uid as uid_b from c join disputes b on b.uid <> c.uid and b.status = 'accepted' and (contains(c.blob, b.uid) or contains(c.blob, lower(substr(b.content, 1, 20))))""", "disputes")
+def supersede_pairs_whole(v: Lenses) -> DataFrame:
+    """All claims against all accepted decisions; supersede_pairs is the sample of its SQL twin."""
+    return conflicts.supersede(v.disputes).select("uid_a", "uid_b")
+
+
 @query()
 def conflicts_all(v: Lenses) -> DataFrame:
     return conflicts.detect(v.disputes).select("type", "uid_a", "uid_b", "place", "matched")
