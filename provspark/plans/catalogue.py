@@ -613,6 +613,13 @@ def token_overlap_pairs(v: Lenses) -> DataFrame:
     other = d.select(F.col("doc_id").alias("b"), "source", F.col("words").alias("words_b"))
     return d.join(other, "source").filter("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.round(text.overlap(F.col("words"), F.col("words_b")), 6).alias("overlap"))
 
+@query(f"""with d as (select doc_id, source, list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}'), lambda x: case when length(x) > 4 and x like '%s' and x not like '%ss' then substr(x, 1, length(x) - 1) else x end)), lambda x: not list_contains({_STOP}, x)) as words
+  from documents)
+select a.doc_id as a, b.doc_id as b, round(case when least(len(a.words), len(b.words)) = 0 then 0 else len(list_intersect(a.words, b.words))::double / least(len(a.words), len(b.words)) end, 6) as overlap from d a join d b on a.source = b.source and a.doc_id < b.doc_id""")
+def token_overlap_pairs_whole(v: Lenses) -> DataFrame:
+    """All pairs of documents of a source, whatever their length; token_overlap_pairs is the sample of its SQL twin."""
+    return conflicts.overlaps(v.documents).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
 
 # ---- reports
 
