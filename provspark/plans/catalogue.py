@@ -268,8 +268,9 @@ def why_cascade_batch(v: Lenses) -> DataFrame:
     return lookup.cascade(v.probes, v.nodes, v.decisions, v.links)
 
 
-_RELATED = f"""g as (select k.file_path, d.uid, row_number() over (partition by k.file_path order by d.timestamp desc, d.uid) as rank
-  from (select distinct file_path, decision_uid from links) k join decisions d on d.uid = k.decision_uid where {VISIBLE}),
+_GOVERNED = f"""g as (select k.file_path, d.uid, row_number() over (partition by k.file_path order by d.timestamp desc, d.uid) as rank
+  from (select distinct file_path, decision_uid from links) k join decisions d on d.uid = k.decision_uid where {VISIBLE})"""
+_RELATED = f"""{_GOVERNED},
 f as (select p.probe, g.rank, g.uid from probes p join g on g.file_path = p.file_path where g.rank <= 2 and p.probe % 3 = 0)"""
 
 
@@ -285,6 +286,29 @@ def why_verdicts(v: Lenses) -> DataFrame:
     return reports.verdicts(v.probes, answered, lookup.governed_fallback(v.probes.filter("probe % 3 = 0"), v.decisions, v.links))
 
 
+_UNANSWERED = f"""{_CASCADE}, {_GOVERNED}, u as (select * from probes p where not exists (select 1 from a where a.probe = p.probe)),
+f as (select u.probe, g.rank, g.uid from u join g on g.file_path = u.file_path where g.rank <= 2)"""
+
+
+def _why(v: Lenses) -> tuple[DataFrame, DataFrame]:
+    """What the cascade answers to all probes, and the fallback for those that it leaves unanswered."""
+    answered = lookup.cascade(v.probes, v.nodes, v.decisions, v.links)
+    return answered, lookup.governed_fallback(v.probes.join(answered.select("probe"), "probe", "left_anti"), v.decisions, v.links)
+
+
+@query(f"{_UNANSWERED} select * from f", "nodes", "probes", "decisions", "links")
+def why_related_whole(v: Lenses) -> DataFrame:
+    """The fallback after the cascade; why_related gives it to every third probe, as its SQL twin does."""
+    return _why(v)[1]
+
+
+@query(f"""{_UNANSWERED}, t as (select p.probe, (select min(level) from a where a.probe = p.probe) as level, exists (select 1 from f where f.probe = p.probe) as governed from probes p)
+select case when level is not null then 'decision:' || level when governed then 'governed' else 'none' end as verdict, count(*) as n from t group by 1""", "nodes", "probes", "decisions", "links")
+def why_verdicts_whole(v: Lenses) -> DataFrame:
+    """Verdicts with every probe asked; why_verdicts asks by thirds, as its SQL twin does."""
+    return reports.verdicts(v.probes, *_why(v))
+
+
 # ---- the store's merge rules
 
 
