@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,8 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 def reaches(a: np.ndarray, b: np.ndarray, least: float, step: int = 64) -> float | None:
     """Jaccard if at least `least`, else None, given up as soon as the signatures still to come can't make up for those missed."""
-    need = -(-least * (len(a) + len(b)) // (1 + least))
+    over, under = Fraction(str(least)).as_integer_ratio()  # in floats the bound is too high for sets that meet it exactly
+    need = -(-over * (len(a) + len(b)) // (over + under))
     if min(len(a), len(b)) < need or not max(len(a), len(b)):
         return 1.0 if len(a) == len(b) == 0 else None
     both = 0
@@ -173,7 +175,7 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     each = reps.select("id", "n_sigs", F.explode("sigs").alias("sig"))
     seen = each.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = each.join(seen, "sig").groupBy("id", "n_sigs").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("known"))  # within one set
-    spare = F.col("n_sigs") - F.ceil(F.col("n_sigs") * threshold) + 1 - (F.col("n_sigs") - F.size("known"))  # unique signatures use up the prefix first
+    spare = F.col("n_sigs") - F.ceil(F.expr(f"n_sigs * {threshold}")) + 1 - (F.col("n_sigs") - F.size("known"))  # unique signatures use up the prefix first
     prefix = ranked.filter(spare > 0).select("id", "n_sigs", F.explode(F.slice("known", F.lit(1), spare.cast("int"))).alias("k")).select("id", "n_sigs", F.col("k.sig").alias("sig"), F.floor(F.log(F.col("n_sigs")) / -np.log(threshold)).alias("part"))
     other = prefix.select(F.col("id").alias("id_b"), F.col("n_sigs").alias("n_b"), "sig", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
     met = prefix.join(other, ["sig", "part"]).filter(f"n_sigs <= n_b and n_sigs >= {threshold} * n_b and (n_sigs < n_b or id < id_b)").select("id", "id_b").distinct()
