@@ -68,7 +68,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), d1, d2 (its digest), sig for each row of docs."""
+    """doc_id, h (hash of the text), n (size of the set), d1, d2 (its digest), sig for each row of docs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
@@ -83,7 +83,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 held.clear()
 
             size = 0
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingle_set(t, k, table)
                 n.append(len(s))
                 d.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
@@ -94,9 +94,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     size = 0
             flush()
             d1, d2 = np.array(d, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "h", "n", "d1", "d2", "sig"])
 
-    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, n long, d1 long, d2 long, sig array<int>")
+    return in_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) h", "text"), work, "doc_id long, h long, n long, d1 long, d2 long, sig array<int>")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -235,8 +235,8 @@ def _within(rows: list[tuple], marked: np.ndarray, percent: int) -> Iterator[tup
             yield (int(ids[x]), int(ids[y])) if ids[x] < ids[y] else (int(ids[y]), int(ids[x]))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept for each row of docs (doc_id, text)."""
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, h (hash of the text), n (size of the set), g (its group, null for an empty set) for each row of docs (doc_id, text)."""
     base = cut(signed(docs, k).withColumn("row_id", F.monotonically_increasing_id()), "signed")
     reps = cut(base.filter("n > 0").groupBy("d1", "d2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "distinct-sets")
     each = reps.select("id", "n", F.posexplode("sig").alias("c", "v")).select("id", "n", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("token"))
@@ -257,16 +257,30 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         drop_cut(old, mixed, more)
     final = components(links)
     classes = reps.join(final.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("g"))
-    rows = cut(base.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "n", "g"), "rows")
+    rows = cut(base.select("doc_id", "h", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc_id", "h", "n", "g"), "rows")
+    drop_cut(base, reps, listed, posts, sets, links)
+    return rows
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept for each row of docs (doc_id, text)."""
+    rows = grouped(docs, k, percent)
     smallest = rows.filter("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
     out = cut(rows.join(smallest, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")), "components")
-    drop_cut(base, reps, listed, posts, sets, links, rows)
+    drop_cut(rows)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates keeps: of each group the one with the smallest doc_id, and one of the rows that repeat it."""
-    gone = near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    same = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    return left.withColumn("nth_", same).filter("nth_ = 1 or doc_id is null").drop("nth_")
+    """The rows of docs, all columns, that stand for their groups: the one with the smallest doc_id (null last), then hash of the text, and one of the rows that repeat it.
+
+    Rows are told apart by doc_id and text, so rows with one doc_id and texts of different groups stay, and of rows without a doc_id those with a group's text go. Texts without words stay.
+    """
+    none = F.lit(-(1 << 63)).cast("long")
+    key = F.coalesce(F.col("doc_id").cast("long"), none).alias("key_")
+    marked = grouped(docs, k, percent).filter("g is not null").select("g", F.struct(F.col("doc_id").isNull().alias("last"), key, F.col("h").alias("h_")).alias("mark"))
+    best = marked.groupBy("g").agg(F.min("mark").alias("best"))
+    gone = marked.join(best, "g").filter("mark <> best").select("mark.key_", "mark.h_").distinct()
+    left = docs.select("*", key, F.xxhash64("text").alias("h_")).join(gone, ["key_", "h_"], "left_anti")
+    same = F.row_number().over(Window.partitionBy("key_", "h_").orderBy(F.lit(1)))
+    return left.withColumn("nth_", same).filter("nth_ = 1").select(*docs.columns)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from provspark.llm import spotsigs
+from provspark.llm import minhash_dedup, spotsigs
 
 
 @pytest.mark.parametrize(("least", "over", "under"), [(0.8, 4, 5), (0.55, 11, 20), (0.3, 3, 10)])
@@ -20,3 +20,12 @@ def test_near_pairs_at_exactly_the_bound(spark, least, over, under):
     rows = [(2 * k + big, [1000 * k + x for x in range((under if big else over) * k)]) for k in sizes for big in (0, 1)]
     prints = spark.createDataFrame([(i, len(s), s) for i, s in rows], "doc_id long, n_sigs long, sigs array<long>")
     assert sorted((r["a"], r["b"]) for r in spotsigs.near_pairs(prints, least).collect()) == [(2 * k, 2 * k + 1) for k in sizes]
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark, frame):
+    """Rows with one doc_id and different texts, near copies among them, and rows without a doc_id."""
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(words), " ".join([*words[:-1], "x"]), "quite another text than the first one", "a third text that nobody else has"
+    rows = [(1, a), (5, near), (5, b), (5, b), (6, c), (6, c + " or so it says here at least"), (7, b), (None, a), (None, "free standing text of seven words here"), (None, "free standing text of seven words here"), (8, ""), (8, " "), (8, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash_dedup.one_of_each(frame(rows)).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (6, c), (6, c + " or so it says here at least"), (None, "free standing text of seven words here"), (8, ""), (8, " ")], key=str)
