@@ -4,8 +4,9 @@ Records are rows (see RECORD); `to_bytes` and `read_records` are their WARC/1.1
 and keeps the response's own headers and payload digest: the metadata record inside its JSON block, the conversion record as WARC-Source-* headers, so that either
 can be traced without the response. Ids are made from what they name, so reruns agree.
 
-Text: tags split lines where they end a block; scripts, styles, templates, comments and everything in the head but the title are left out; character references
-are read; white space is collapsed within lines and empty lines dropped.
+Text: tags split lines where they end a block; scripts, styles, templates, comments and everything in the head but the title are left out, nothing else; the head ends
+at </head> or at the first tag or text that can't stand in one; the content of a textarea is text as it is; character references are read; white space is collapsed within
+lines and empty lines dropped. The title of a drawing is text, and not the page's title.
 
 Defined results: a null html is an empty payload; its conversion has an empty block; a null url gives an empty target URI; rows that repeat each other give records
 with the same ids; other columns are ignored; no rows give no rows. Unclosed comments and scripts reach to the end of the page.
@@ -40,9 +41,12 @@ NAMES = re.findall(r"(\w+) \w+(?:<[^>]*>)?(?:, |$)", RECORD)
 KINDS = [pa.int64(), *[pa.string()] * 6, pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.string(), pa.binary()]
 #: Elements that end a line, and elements whose content is no text.
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
-SILENT = frozenset("script style template noscript textarea svg".split())
+SILENT = frozenset("script style template".split())
+#: Elements that may begin in a head.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_AREA_END = re.compile(r"</textarea\s*>", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -59,12 +63,15 @@ def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]
     """(text, title, [(element@attribute, absolute url)], [(meta name, content)]) in one pass from left to right."""
     at, out, title, links, metas = 0, [], [], [], []
     in_head = in_title = False
+    drawings = 0
     while at < len(page):
         lt = page.find("<", at)
         data = page[at : lt if lt >= 0 else len(page)]
         if data:
             if in_title:
                 title.append(data)
+            elif data.strip():
+                in_head = False
             if in_title or not in_head:
                 out.append(data.replace("\n", " "))
         if lt < 0:
@@ -79,8 +86,8 @@ def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]
             continue
         m = _TAG.match(page, lt)
         if not m:
-            if in_title or not in_head:
-                out.append("<")
+            in_head = in_head and in_title
+            out.append("<")
             at = lt + 1
             continue
         at, name = m.end(), m[2].lower()
@@ -88,10 +95,12 @@ def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]
             out.append("\n")
         if name == "head":
             in_head = not m[1]
-        elif name == "body":
-            in_head = False
-        elif name == "title":
+        elif name == "title" and not drawings:
             in_title = not m[1]
+        elif name == "svg" and not m[3].endswith("/"):
+            drawings = max(0, drawings + (-1 if m[1] else 1))
+        if name == "body" or not (m[1] or in_title or name in HEAD):
+            in_head = False
         if m[1]:
             continue
         if name in LINKS or name == "meta":
@@ -108,6 +117,10 @@ def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]
         if name in SILENT and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
+        elif name == "textarea":
+            end = _AREA_END.search(page, at)
+            out.append(page[at : end.start() if end else len(page)].replace("\n", " "))
+            at = end.end() if end else len(page)
     lines = (" ".join(line.split()) for line in html.unescape("".join(out)).split("\n"))
     return "\n".join(x for x in lines if x), " ".join(html.unescape("".join(title)).split()), links, metas
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from provspark.llm import minhash_dedup, spotsigs
+from provspark.llm import minhash_dedup, spotsigs, warc
 
 
 @pytest.mark.parametrize(("least", "over", "under"), [(0.8, 4, 5), (0.55, 11, 20), (0.3, 3, 10)])
@@ -29,3 +29,27 @@ def test_one_of_each_tells_rows_of_one_id_apart(spark, frame):
     rows = [(1, a), (5, near), (5, b), (5, b), (6, c), (6, c + " or so it says here at least"), (7, b), (None, a), (None, "free standing text of seven words here"), (None, "free standing text of seven words here"), (8, ""), (8, " "), (8, "")]
     got = sorted(((r["doc_id"], r["text"]) for r in minhash_dedup.one_of_each(frame(rows)).collect()), key=str)
     assert got == sorted([(1, a), (5, b), (6, c), (6, c + " or so it says here at least"), (None, "free standing text of seven words here"), (8, ""), (8, " ")], key=str)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<head><title>T</title><p>all of it<p>and more", "T\nall of it\nand more"),
+        ("<html><head><title>T</title><meta name=k content=v>bare text<p>more", "T\nbare text\nmore"),
+        ("<head><title>T</title><style>p{}</style><script>x</script><link href=x></head><body><p>body</p>", "T\nbody"),
+        ("<head>1 < 2", "1 < 2"),
+        ("<p>a</p><noscript>no script</noscript><p>b", "a\nno script\nb"),
+        ("<noscript>open <p>b", "open\nb"),
+        ("<p>a <textarea>x <b>y</b> &amp; z</TEXTAREA> c", "a x <b>y</b> & z c"),
+        ("<textarea>open", "open"),
+        ("<title>T</title><p>a <svg><title>drawn</title><style>s</style><text>label</text></svg> b", "T\na\ndrawn\nlabel b"),
+        ("<svg>open <p>b", "open\nb"),
+        ("<p>a<script>x</script><style>y</style><template>z</template><!-- c -->", "a"),
+    ],
+)
+def test_page_text_is_whole(page, text):
+    assert warc.read_page(page)[0] == text
+
+
+def test_title_of_a_drawing_is_not_the_page_title():
+    assert warc.read_page("<head><title>T</title></head><svg><title>drawn</title></svg>")[1] == "T"
