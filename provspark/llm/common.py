@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Rows of an Arrow batch that a Python stage gets; whole texts stay whole, so this bounds a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that a Python stage gets; both ends hold a batch whole. A row that is longer by itself comes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rows up to which a table may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -62,14 +62,17 @@ def drop_cut(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has the JVM send at most BATCH_ROWS rows at a time, unless the session asks for fewer: texts can be long, and both ends hold a batch whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Has the JVM send at most BATCH_ROWS rows and about BATCH_BYTES at a time, unless the session asks for less: texts can be long.
+
+    The settings stay, for a plan reads them when it runs, and that is after its caller has it.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key, "0")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow over batches of at most BATCH_ROWS rows."""
+    """df.mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES."""
 
     small_batches(df.sparkSession)
 

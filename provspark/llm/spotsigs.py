@@ -37,9 +37,9 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 4
 
 
 class Spots(dict):
-    """word -> hash whose lowest bit says whether the word is common; bounded."""
+    """word -> hash whose lowest bit says whether the word is common; bounded, as every idle worker keeps its own."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 50_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -135,7 +135,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
             return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), printed(sigs), printed(other), likeness(sigs, other), likeness(sigs, nxt_sigs)
 
         for b in batches:
-            for doc_id, text, own, ghost in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, text, own, ghost in ((c[i].as_py() for c in b.columns) for i in range(b.num_rows)):  # a row at a time: texts are not held twice
                 text = text or ""
                 if ghost and (held is None or held[3] != own):
                     continue  # its range has its successor already
