@@ -67,7 +67,7 @@ def small_batches(spark: SparkSession) -> None:
     The settings stay, for a plan reads them when it runs, and that is after its caller has it.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(spark.conf.get(key, "0")) <= most:
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:  # Spark gives bytes back with their unit
             spark.conf.set(key, str(most))
 
 
