@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,27 @@ def contains_line(line: Column, start: str = "line_start", end: str = "line_end"
     return line.between(F.col(start), F.col(end))
 
 
+#: Sizes of line bins: a span lies in one or two bins of the least size that is not under its length, so a line is met by its bin of each size.
+BINS = (64, 1024, 16384, 1 << 40)
+
+
+def span_bins(start: Column, end: Column) -> Column:
+    """Bins (size, at) of a span of lines; to be exploded and met by line_bins. A span that ends before it starts has none."""
+    size = F.lit(BINS[-1])
+    for s in reversed(BINS[:-1]):
+        size = F.when(end - start < s, F.lit(s).cast("long")).otherwise(size)
+    bins = _in_bins(size, lambda n: F.sequence(F.floor(start / n).cast("long"), F.floor(end / n).cast("long")))
+    return F.when(end >= start, bins).otherwise(F.array().cast("array<struct<size:bigint,at:bigint>>"))
+
+
+def _in_bins(size: Column, places: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(F.array(size), lambda n: F.transform(places(n), lambda at: F.struct(n.alias("size"), at.alias("at")))))
+
+
+def line_bins(line: Column) -> Column:
+    return F.array(*[F.struct(F.lit(s).cast("long").alias("size"), F.floor(line / s).cast("long").alias("at")) for s in BINS])
+
+
 def has_rationale() -> Column:
     return (F.trim(F.coalesce("reason", F.lit(""))) != "") | (F.size("alternatives") > 0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provspark.functions import paths, text
+from provspark.operators import lookup
 
 # How much a decision may bind to.
 MOST_CHANGED, MOST_PER_FILE_WHEN_HUGE = 1000, 200
@@ -35,7 +36,7 @@ def bind_changed(changed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(decision_uid, node_uid, file_path, line): each changed line with the tightest version about it, whenever that held. changed: (decision_uid, file_path, line)."""
     total = Window.partitionBy("decision_uid")
     n = nodes.select("file_path", F.col("uid").alias("node_uid"), "line_start", "line_end")
-    met = changed.withColumn("changed", F.count("*").over(total)).join(n, "file_path").filter(paths.contains_line(F.col("line")))
+    met = lookup.about_lines(changed.withColumn("changed", F.count("*").over(total)), n, "file_path")
     w = Window.partitionBy("decision_uid", "file_path", "line").orderBy(F.col("line_end") - F.col("line_start"), "node_uid")
     best = met.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     # A huge change binds only the first lines of each file that lie in symbols.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from provspark.operators import lookup
+
 
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """For each child with a stored parent, `contains` down and `defined_by` up, at the child's first line."""
@@ -19,19 +21,20 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 def callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """The tightest symbol of the caller's name about each call; calls outside any are dropped. calls: (call, caller, callee, file_path, line)."""
     n = nodes.select(F.col("uid").alias("from_uid"), F.col("name").alias("caller"), "file_path", "line_start", "line_end")
-    met = calls.join(n, ["caller", "file_path"]).filter(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    met = lookup.about_lines(calls, n, ["caller", "file_path"])
     w = Window.partitionBy("call").orderBy(F.col("line_end") - F.col("line_start"), "from_uid")
     return met.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("call", "from_uid", "callee", "file_path", "line")
 
 
 def call_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """`uses` from each call's symbol to the symbols of the callee's name: those of its own file where there are any, else all."""
-    found = callers(calls, nodes)
-    to = nodes.select(F.col("uid").alias("to_uid"), F.col("name").alias("callee"), F.col("file_path").alias("to_path"))
-    local = nodes.select(F.col("name").alias("callee"), "file_path", F.lit(True).alias("local")).distinct()
-    marked = found.join(local, ["callee", "file_path"], "left")
-    met = marked.join(to, "callee").filter("(local is null or to_path = file_path) and from_uid <> to_uid")
-    return met.select("from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line").distinct()
+    found = callers(calls, nodes).select("from_uid", "callee", "file_path", "line").distinct()
+    to = nodes.select(F.col("uid").alias("to_uid"), F.col("name").alias("callee"), "file_path")
+    # A call with a namesake in its file meets those of that file alone; only the others meet all of the name.
+    local = found.join(to, ["callee", "file_path"])
+    abroad = found.join(to.select("callee", "file_path"), ["callee", "file_path"], "left_anti").join(to.drop("file_path"), "callee")
+    cols = ["from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line"]
+    return local.select(*cols).unionByName(abroad.select(*cols)).filter("from_uid <> to_uid").distinct()
 
 
 def edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:

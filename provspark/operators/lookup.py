@@ -16,11 +16,18 @@ def newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc(), "uid").limit(limit)
 
 
+def about_lines(points: DataFrame, spans: DataFrame, on: list[str] | str) -> DataFrame:
+    """points (on, line) joined with the spans (on, line_start, line_end) that hold the line. They meet by a bin of lines as well, so a hot file is no crossing of all its lines with all its spans."""
+    p = points.withColumn("_bin", F.explode(paths.line_bins(F.col("line"))))
+    s = spans.withColumn("_bin", F.explode(paths.span_bins(F.col("line_start"), F.col("line_end"))))
+    return p.join(s, [*([on] if isinstance(on, str) else on), "_bin"]).filter(paths.contains_line(F.col("line"))).drop("_bin")
+
+
 def innermost(probes: DataFrame, nodes: DataFrame, at: Column | None = None) -> DataFrame:
     """For each of probes (probe, file_path, line) the live symbol about the line: open before closed, tightest, youngest."""
     live = nodes.filter(paths.is_live(at)) if at is not None else nodes.filter(paths.is_live())
     n = live.select("file_path", "uid", "name", "line_start", "line_end", "valid_from", "valid_to")
-    met = probes.join(n, "file_path").filter(paths.contains_line(F.col("line")))
+    met = about_lines(probes, n, "file_path")
     w = Window.partitionBy("probe").orderBy(F.col("valid_to").isNull().desc(), F.col("line_end") - F.col("line_start"), F.col("valid_from").desc(), "uid")
     return met.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("probe", "file_path", "line", "uid", "name", "line_start", "line_end")
 
@@ -42,7 +49,7 @@ def near_names(nodes: DataFrame, name: str, limit: int = 3) -> DataFrame:
 def containing(probes: DataFrame, nodes: DataFrame, each: int = 5) -> DataFrame:
     """For each probe the few tightest versions about its line, whenever they held."""
     n = nodes.select("file_path", "uid", "line_start", "line_end")
-    met = probes.join(n, "file_path").filter(paths.contains_line(F.col("line")))
+    met = about_lines(probes, n, "file_path")
     w = Window.partitionBy("probe").orderBy(F.col("line_end") - F.col("line_start"), "uid")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each).select("probe", "uid", "rank")
 
@@ -90,11 +97,14 @@ def cascade(probes: DataFrame, nodes: DataFrame, decisions: DataFrame, links: Da
     """
     # No action may be shared by hand here: each level is one equi-join, and the plan reads each table once per level.
     d = decisions.select("uid", "timestamp", "file_path", "line", "source_ref")
-    stamped = links.select(F.col("decision_uid").alias("uid"), F.col("file_path"), F.col("line").alias("at")).join(d.select("uid", "timestamp"), "uid")
+    # No answer takes more than the newest few of a line, so a hot line gives no more than these.
+    linked = links.select(F.col("decision_uid").alias("uid"), "file_path", "line").filter("line is not null").distinct().join(d.select("uid", "timestamp"), "uid")
+    newest_first = Window.partitionBy("file_path", "line").orderBy(F.col("timestamp").desc(), "uid")
+    stamped = linked.withColumn("_n", F.row_number().over(newest_first)).filter(F.col("_n") <= max(limits[:2])).drop("_n")
     inside = innermost(probes, nodes).select("probe", "file_path", "line_start", "line_end")
     found = [
-        inside.join(stamped, "file_path").filter(F.col("at").between(F.col("line_start"), F.col("line_end"))).select("probe", F.lit(0).alias("k"), "uid", "timestamp").distinct(),
-        probes.join(stamped, "file_path").filter("at = line").select("probe", F.lit(1).alias("k"), "uid", "timestamp"),
+        about_lines(stamped, inside, "file_path").select("probe", F.lit(0).alias("k"), "uid", "timestamp").distinct(),
+        probes.select("probe", "file_path", "line").join(stamped, ["file_path", "line"]).select("probe", F.lit(1).alias("k"), "uid", "timestamp"),
         probes.select("probe", "file_path", "line").join(d.drop("source_ref"), ["file_path", "line"]).select("probe", F.lit(2).alias("k"), "uid", "timestamp"),
         _top(probes.select("probe", "file_path"), d, "file_path", limits[3]).select("probe", F.lit(3).alias("k"), "uid", "timestamp"),
     ]

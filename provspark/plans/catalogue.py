@@ -214,9 +214,9 @@ def _newest(where: str, k: int) -> str:
     return f"select uid, timestamp from decisions where {where} order by timestamp desc, uid limit {k}"
 
 
-@query(_newest(f"file_path = '{FILE}' and line = 82", 20), "decisions")
+@query(_newest(f"file_path = '{FILE}' and line = 64", 20), "decisions")
 def decisions_for_line(v: Lenses) -> DataFrame:
-    return lookup.for_line(v.decisions, FILE, 82).select("uid", "timestamp")
+    return lookup.for_line(v.decisions, FILE, 64).select("uid", "timestamp")
 
 
 @query(_newest(f"file_path = '{FILE}'", 20), "decisions")
@@ -270,22 +270,6 @@ def why_cascade_batch(v: Lenses) -> DataFrame:
 
 _GOVERNED = f"""g as (select k.file_path, d.uid, row_number() over (partition by k.file_path order by d.timestamp desc, d.uid) as rank
   from (select distinct file_path, decision_uid from links) k join decisions d on d.uid = k.decision_uid where {VISIBLE})"""
-_RELATED = f"""{_GOVERNED},
-f as (select p.probe, g.rank, g.uid from probes p join g on g.file_path = p.file_path where g.rank <= 2 and p.probe % 3 = 0)"""
-
-
-@query(f"{_RELATED} select * from f", "probes", "decisions", "links")
-def why_related(v: Lenses) -> DataFrame:
-    return lookup.governed_fallback(v.probes.filter("probe % 3 = 0"), v.decisions, v.links)
-
-
-@query(f"""{_CASCADE}, {_RELATED}, t as (select p.probe, (select min(level) from a where a.probe = p.probe and p.probe % 3 = 1) as level, exists (select 1 from f where f.probe = p.probe) as governed from probes p)
-select case when level is not null then 'decision:' || level when governed then 'governed' else 'none' end as verdict, count(*) as n from t group by 1""", "nodes", "probes", "decisions", "links")
-def why_verdicts(v: Lenses) -> DataFrame:
-    answered = lookup.cascade(v.probes.filter("probe % 3 = 1"), v.nodes, v.decisions, v.links)
-    return reports.verdicts(v.probes, answered, lookup.governed_fallback(v.probes.filter("probe % 3 = 0"), v.decisions, v.links))
-
-
 _UNANSWERED = f"""{_CASCADE}, {_GOVERNED}, u as (select * from probes p where not exists (select 1 from a where a.probe = p.probe)),
 f as (select u.probe, g.rank, g.uid from u join g on g.file_path = u.file_path where g.rank <= 2)"""
 
@@ -297,15 +281,13 @@ def _why(v: Lenses) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"{_UNANSWERED} select * from f", "nodes", "probes", "decisions", "links")
-def why_related_whole(v: Lenses) -> DataFrame:
-    """The fallback after the cascade; why_related gives it to every third probe, as its SQL twin does."""
+def why_related(v: Lenses) -> DataFrame:
     return _why(v)[1]
 
 
 @query(f"""{_UNANSWERED}, t as (select p.probe, (select min(level) from a where a.probe = p.probe) as level, exists (select 1 from f where f.probe = p.probe) as governed from probes p)
 select case when level is not null then 'decision:' || level when governed then 'governed' else 'none' end as verdict, count(*) as n from t group by 1""", "nodes", "probes", "decisions", "links")
-def why_verdicts_whole(v: Lenses) -> DataFrame:
-    """Verdicts with every probe asked; why_verdicts asks by thirds, as its SQL twin does."""
+def why_verdicts(v: Lenses) -> DataFrame:
     return reports.verdicts(v.probes, *_why(v))
 
 
@@ -594,27 +576,17 @@ _PAIRS = f"{_BODY}, {_HITS}, {_WORDS}, x as (select a.uid as uid_a, b.uid as uid
 
 @query(f"{_PAIRS} select uid_a, uid_b, place, matched, round(overlap, 6) as overlap from x where len(matched) > 0 and (len(list_intersect(matched, {_STRONG})) > 0 or overlap >= 0.25)", "disputes")
 def opposite_pairs(v: Lenses) -> DataFrame:
-    return conflicts.opposite_candidates(v.disputes).select("uid_a", "uid_b", "place", "matched", F.round("overlap", 6).alias("overlap"))
+    return conflicts.opposite_candidates(v.disputes).select("uid_a", "uid_b", F.col("place_a").alias("place"), "matched", F.round("overlap", 6).alias("overlap"))
 
 
 @query(f"{_PAIRS} select uid_a, uid_b, file_path, matched from x where len(matched) > 0 and file_path <> '' and file_path = file_b and seconds <= 259200", "disputes")
 def temporal_pairs(v: Lenses) -> DataFrame:
-    return conflicts.temporal_candidates(v.disputes).select("uid_a", "uid_b", F.col("place").alias("file_path"), "matched")
-
-
-_FEW = "e as (select * from disputes where seq % 50 < 3 or (content like 'supersede%' and seq % 300 < 5))"
-
-
-@query(f"""{_FEW}, c as (select uid, lower(content || ' ' || reason || ' ' || source_ref) as blob from e where contains(lower(content || ' ' || reason || ' ' || source_ref), 'supersede'))
-select distinct c.uid as uid_a, b.uid as uid_b from c join e b on b.uid <> c.uid and b.status = 'accepted' and (contains(c.blob, b.uid) or contains(c.blob, lower(substr(b.content, 1, 20))))""", "disputes")
-def supersede_pairs(v: Lenses) -> DataFrame:
-    return conflicts.supersede(v.disputes.filter("seq % 50 < 3 or (content like 'supersede%' and seq % 300 < 5)")).select("uid_a", "uid_b")
+    return conflicts.temporal_candidates(v.disputes).select("uid_a", "uid_b", F.col("file_path_a").alias("file_path"), "matched")
 
 
 @query("""c as (select uid, lower(content || ' ' || reason || ' ' || source_ref) as blob from disputes where contains(lower(content || ' ' || reason || ' ' || source_ref), 'supersede'))
 select distinct c.uid as uid_a, b.uid as uid_b from c join disputes b on b.uid <> c.uid and b.status = 'accepted' and (contains(c.blob, b.uid) or contains(c.blob, lower(substr(b.content, 1, 20))))""", "disputes")
-def supersede_pairs_whole(v: Lenses) -> DataFrame:
-    """All claims against all accepted decisions; supersede_pairs is the sample of its SQL twin."""
+def supersede_pairs(v: Lenses) -> DataFrame:
     return conflicts.supersede(v.disputes).select("uid_a", "uid_b")
 
 
@@ -629,19 +601,10 @@ def conflict_funnel(v: Lenses) -> DataFrame:
     return conflicts.funnel(v.disputes)
 
 
-@query(f"""d as (select doc_id, source, list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}'), lambda x: case when length(x) > 4 and x like '%s' and x not like '%ss' then substr(x, 1, length(x) - 1) else x end)), lambda x: not list_contains({_STOP}, x)) as words
-  from documents where n_chars < 150)
-select a.doc_id as a, b.doc_id as b, round(case when least(len(a.words), len(b.words)) = 0 then 0 else len(list_intersect(a.words, b.words))::double / least(len(a.words), len(b.words)) end, 6) as overlap from d a join d b on a.source = b.source and a.doc_id < b.doc_id""".replace("d as (", "with d as (", 1))
-def token_overlap_pairs(v: Lenses) -> DataFrame:
-    d = v.documents.filter("n_chars < 150").select("doc_id", "source", text.topic_words(F.col("text")).alias("words"))
-    other = d.select(F.col("doc_id").alias("b"), "source", F.col("words").alias("words_b"))
-    return d.join(other, "source").filter("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.round(text.overlap(F.col("words"), F.col("words_b")), 6).alias("overlap"))
-
 @query(f"""with d as (select doc_id, source, list_filter(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z][a-z0-9_]{{2,}}'), lambda x: case when length(x) > 4 and x like '%s' and x not like '%ss' then substr(x, 1, length(x) - 1) else x end)), lambda x: not list_contains({_STOP}, x)) as words
   from documents)
 select a.doc_id as a, b.doc_id as b, round(case when least(len(a.words), len(b.words)) = 0 then 0 else len(list_intersect(a.words, b.words))::double / least(len(a.words), len(b.words)) end, 6) as overlap from d a join d b on a.source = b.source and a.doc_id < b.doc_id""")
-def token_overlap_pairs_whole(v: Lenses) -> DataFrame:
-    """All pairs of documents of a source, whatever their length; token_overlap_pairs is the sample of its SQL twin."""
+def token_overlap_pairs(v: Lenses) -> DataFrame:
     return conflicts.overlaps(v.documents).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 

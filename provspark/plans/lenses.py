@@ -72,15 +72,16 @@ from orders""",
         ("lineitem",),
         """
 select 'd' || cast(l_orderkey as string) as decision_uid, 'n' || cast(l_partkey as string) as node_uid,
-  'src/m' || cast(l_suppkey % 10 as string) || '/f' || cast(l_suppkey % 150 as string) || '.py' as file_path, cast(1 + l_partkey % 200 as int) as line,
+  case when l_linenumber = 7 then 'gen' else 'src/m' || cast(l_suppkey % 10 as string) end || '/f' || cast(l_suppkey % 150 as string) || '.py' as file_path, cast(1 + l_partkey % 200 as int) as line,
   l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as seq
 from lineitem""",
     ),
     "probes": (
         ("events",),
         """
-select event_id as probe, 'src/m' || cast(user_id % 10 as string) || '/f' || cast(user_id as string) || '.py' as file_path, cast(1 + (event_id * 7) % 240 as int) as line
-from events where event_id % 5 = 0""",
+select event_id as probe, case event_id % 10 when 3 then 'gen/f' || cast(user_id % 200 as string) else 'src/m' || cast(user_id % 10 as string) || '/f' || cast(user_id as string) end || '.py' as file_path,
+  cast(1 + (event_id * 7) % 240 as int) as line
+from events""",
     ),
     "symbol_events": (
         ("events",),
