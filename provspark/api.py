@@ -10,6 +10,7 @@ import json
 import re
 import sys
 from datetime import date, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,8 +66,15 @@ class Engine:
             found = stored.unionByName(found.select(*stored.columns))
             edges = self._t("edges").unionByName(edges)
         found = store.repaired(store.merge_by_uid(found)).cache()
-        decisions = self._decisions(repo, commits).cache()
-        links = self._links(repo, commits, decisions, found)
+        # An incremental run reads the new commits and all documents; what is stored of anything else stays as it is.
+        read = fresh if state else commits
+        documents = self._documents(repo)
+        decisions = self._decisions(read, documents).cache()
+        links = self._links(repo, read, decisions, found, documents)
+        if state:
+            fresh_uids = decisions.select(F.col("uid").alias("decision_uid")).distinct()
+            links = self._t("links").drop("commit_sha").join(fresh_uids, "decision_uid", "left_anti").unionByName(links.select("decision_uid", "node_uid", "file_path", "line"))
+            decisions = store.replaced(self._t("decisions"), decisions)
         store.guard(found.count(), state.get("node_count", 0), not state)
         edges = store.merge_edges(store.without_dangling(edges.withColumn("seq", F.xxhash64("from_uid", "to_uid", "kind", "line")), found))
         counts = self.store.write({"nodes": found, "edges": edges, "decisions": decisions, "links": links.withColumn("commit_sha", F.lit(""))})
@@ -124,16 +132,17 @@ class Engine:
         uses = met.join(local, "call", "left").filter("local is null or to_path = file_path").select("from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line").distinct()
         return graph.hierarchy(opened).unionByName(uses)
 
-    def _decisions(self, repo: str, commits: DataFrame | None) -> DataFrame:
+    def _documents(self, repo: str) -> dict[str, DataFrame]:
+        """Kind -> (seq, file_path, text, modified) of the documents beside the code; a repository without a folder for a kind has none of it."""
+        readers = {"adr": (files.design_documents, f"{repo.rstrip('/')}/{files.DESIGN}"), "changelog": (files.changelog, repo)}
+        return {kind: read(self.spark, repo) for kind, (read, folder) in readers.items() if files.exists(self.spark, folder)}
+
+    def _decisions(self, commits: DataFrame | None, documents: dict[str, DataFrame]) -> DataFrame:
         parts = []
         if commits is not None:
             said = commits.select("seq", "sha", "message", F.coalesce(F.try_element_at("changed_files", F.lit(1)), F.lit("")).alias("file_path"))
             parts.append(records.from_messages(said).join(commits.select("seq", "timestamp", "author"), "seq").withColumn("constraints", F.array().cast("array<string>")).withColumn("part", F.lit(0)))
-        for k, (kind, read) in enumerate((("adr", files.design_documents), ("changelog", files.changelog)), 1):
-            try:
-                docs = read(self.spark, repo)
-            except Exception:  # noqa: BLE001  a folder that isn't there
-                continue
+        for k, (kind, docs) in enumerate(documents.items(), 1):
             parts.append(records.from_documents(docs, kind).join(docs.select("seq", F.col("modified").alias("timestamp")), "seq").withColumn("author", F.lit("")).withColumn("part", F.lit(k)))
         if not parts:
             return self.spark.createDataFrame([], schema.ddl(schema.DECISION))
@@ -143,11 +152,15 @@ class Engine:
         ordered = every.withColumn("seq", F.col("part").cast("long") * (1 << 50) + F.col("seq") % (1 << 40) * 1000 + F.col("nth"))
         return records.deduped(ordered).withColumn("line", F.lit(None).cast("int")).select(*schema.DECISION)
 
-    def _links(self, repo: str, commits: DataFrame | None, decisions: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _links(self, repo: str, commits: DataFrame | None, decisions: DataFrame, nodes: DataFrame, documents: dict[str, DataFrame]) -> DataFrame:
         own = bind.bind_own_line(decisions, nodes)
         plain = decisions.filter((text.sha_of(F.col("source_ref")) == "") & F.col("line").isNull() & (F.col("tier") == "decision"))
-        prose = plain.select(F.col("uid").alias("decision_uid"), F.concat_ws("\n", "content", "reason", F.concat_ws("\n", "alternatives"), F.concat_ws("\n", "constraints")).alias("text"))
-        governed = bind.bind_governed(prose, store.representatives(nodes))
+        said = plain.select(F.col("uid").alias("decision_uid"), "file_path", F.concat_ws("\n", "content", "reason", F.concat_ws("\n", "alternatives"), F.concat_ws("\n", "constraints")).alias("text"))
+        # What a record quotes is clipped, and markers stand anywhere in a document: the whole of it is read along.
+        for docs in documents.values():
+            body = docs.filter(F.lower("file_path").endswith(".md")).select("file_path", F.col("text").alias("body"))
+            said = said.join(body, "file_path", "left").select("decision_uid", "file_path", F.concat_ws("\n", "text", "body").alias("text"))
+        governed = bind.bind_governed(said.select("decision_uid", "text"), store.representatives(nodes))
         out = own.unionByName(governed)
         if commits is not None:
             of = decisions.select(F.col("uid").alias("decision_uid"), text.sha_of(F.col("source_ref")).alias("sha")).filter("sha <> ''")
@@ -214,9 +227,14 @@ class Engine:
         lines = [r["line"] for r in reports.change_lines(summary, shown, day).orderBy("part", "line").collect()]
         return {"date": day, "scope": scope, "nodes": row["nodes"], "edges": row["edges"], "decisions": row["decisions"], "summary": lines or [f"No nodes valid at {day} for this scope"], "decision_records": self._shown(shown)}
 
+    def health(self) -> dict:
+        """Whether there is something to ask."""
+        ready = self.store.exists()
+        return {"status": "ok" if ready else "empty", "nodes": self._t("nodes").count() if ready else 0, "decisions": self._t("decisions").count() if ready else 0}
+
     def payload(self, day: str | None = None, scope: str = "", zone: str = "UTC") -> dict:
-        """What a web page shows of a snapshot: counts, then at most 50 decisions and 400 edges."""
-        day, at = self._end_of(day or datetime.now().date().isoformat(), zone)
+        """What a web page shows of a snapshot: counts, then at most 50 decisions and 400 edges. No day, or one of blanks, is now."""
+        day, at = self._end_of((day or "").strip() or datetime.now().date().isoformat(), zone)
         nodes, edges, decisions, links = (self._t(t) for t in schema_names())
         row = reports.graph_payload(nodes, edges, decisions, links, at, scope).first().asDict()
         shown = paths.governed_scope(decisions.filter(paths.visible()), links, scope).orderBy(F.col("timestamp").desc(), "uid")
@@ -254,21 +272,57 @@ class Engine:
         return reports.context_pack(nodes, self._t("decisions").filter(paths.visible()))
 
 
+def find_store(start: str, name: str = ".provspark") -> str:
+    """The store of the nearest folder upwards from start, or the one that start itself would have."""
+    at = Path(start).resolve()
+    for folder in (at, *at.parents):
+        if (folder / name / "current").is_file():
+            return str(folder / name)
+    return str(at / name)
+
+
+def located(raw: str, root: str | None) -> str:
+    """A location with its absolute path made relative to the root, where it lies under it."""
+    path, line = m.groups() if (m := re.fullmatch(r"(.+?)(:\d+)", raw)) else (raw, "")
+    if not root or not Path(path).is_absolute():
+        return raw
+    try:
+        return Path(path).resolve().relative_to(Path(root).resolve()).as_posix() + line
+    except ValueError:
+        raise BadArgument(f"{path} is not under {root}") from None
+
+
+def as_table(out: dict | list) -> str:
+    """An answer as lines of text: a heading for what is single, and a table for each list of records."""
+    tables = {"": out} if isinstance(out, list) else {k: v for k, v in out.items() if isinstance(v, list) and v}
+    lines = [] if isinstance(out, list) else [f"{k}: {v}" for k, v in out.items() if not isinstance(v, list | dict)]
+    for name, rows in tables.items():
+        rows = [r if isinstance(r, dict) else {name: r} for r in rows]
+        heads = list(dict.fromkeys(k for r in rows for k in r))
+        cells = [heads, *([" ".join(str("" if r.get(h) is None else r[h]).split())[:60] for h in heads] for r in rows)]
+        widths = [max(len(c[i]) for c in cells) for i in range(len(heads))]
+        lines += ["", *([name] if name else []), *(" | ".join(x.ljust(w) for x, w in zip(c, widths, strict=True)).rstrip() for c in cells)]
+    return "\n".join(lines).strip() or "nothing"
+
+
 def schema_names() -> tuple[str, ...]:
     return tuple(store.TABLES)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="provspark")
-    p.add_argument("--store", default=".provspark")
+    p.add_argument("--store", help="folder of the store; else the nearest .provspark from here (or --root) upwards")
+    p.add_argument("--format", choices=("json", "table"), default="json")
     p.add_argument("--zone", default="UTC")
     sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("health")
     c = sub.add_parser("index")
     c.add_argument("path")
     c.add_argument("--depth", type=int)
     c.add_argument("--full", action="store_true")
     c = sub.add_parser("why")
     c.add_argument("location")
+    c.add_argument("--root", help="where the repository lies, for an absolute location")
     for x in (c, d := sub.add_parser("decisions")):
         x.add_argument("--include-events", action="store_true")
         x.add_argument("--include-dependency", action="store_true")
@@ -288,17 +342,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("--scope", default="")
     c.add_argument("--output", required=True)
     a = p.parse_args(argv)
-    engine = Engine(spark or local_session(), a.store)
+    root = getattr(a, "root", None) or getattr(a, "path", None) or "."
+    engine = Engine(spark or local_session(), a.store or find_store(root))
     code = 0
     try:
         if a.command == "index":
             out = engine.index(a.path, a.depth, a.full)
         elif a.command == "why":
-            out = engine.why(a.location, a.include_events, a.include_dependency)
+            out = engine.why(located(a.location, a.root), a.include_events, a.include_dependency)
             code = 0 if out["decisions"] else 1
         elif a.command == "decisions":
             out = engine.decisions(a.file, not a.timeline, a.include_events, a.include_dependency)
             code = 0 if out["count"] else 1
+        elif a.command == "health":
+            out = engine.health()
         elif a.command == "graph":
             out = engine.graph_at(a.at, a.scope, a.zone)
         elif a.command == "conflicts":
@@ -312,7 +369,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out, code = {"error": str(e)}, 2
     except store.GraphShrinkError as e:
         out, code = {"error": str(e)}, 4
-    print(json.dumps(out, ensure_ascii=False, default=str))
+    print(as_table(out) if a.format == "table" else json.dumps(out, ensure_ascii=False, default=str))
     return code
 
 

@@ -118,14 +118,14 @@ class Store:
         version = self._read("current")
         if version is None:
             return self.spark.createDataFrame([], schema.ddl(TABLES[name]))
-        raw = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{version.strip()}/{name}")
+        raw = self.spark.read.parquet(f"{self.root}/{version.strip()}/{name}")
         if name == "decisions":
             return schema.read_decisions(raw)
         return raw.select(*[(F.col(c) if c in raw.columns else F.lit(None).cast(kind)).alias(c) for c, kind in TABLES[name].items()])
 
     def write(self, tables: dict[str, DataFrame]) -> dict[str, int]:
-        """Writes all four tables as a new version and puts it in force; the one before is deleted."""
-        before, version = self._read("current"), f"v-{uuid.uuid4().hex}"
+        """Writes all four tables as a new version and puts it in force. The one before stays for those who read it; the one before that is deleted."""
+        before, older, version = self._read("current"), self._read("previous"), f"v-{uuid.uuid4().hex}"
         for name in TABLES:
             df = tables[name].select(*[F.col(c).cast(kind).alias(c) for c, kind in TABLES[name].items()])
             if name == "nodes":
@@ -134,7 +134,9 @@ class Store:
         counts = {name: self.spark.read.parquet(f"{self.root}/{version}/{name}").count() for name in TABLES}
         self._write("current", version)
         if before:
-            self._fs.delete(self._path(f"{self.root}/{before.strip()}"), True)
+            self._write("previous", before)
+        if older and older != before:
+            self._fs.delete(self._path(f"{self.root}/{older.strip()}"), True)
         return counts
 
     def save_checkpoint(self, head: str, node_count: int) -> None:

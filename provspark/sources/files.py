@@ -11,6 +11,15 @@ from provspark.operators.records import CHANGELOGS
 from provspark.sources.parsers import language_of
 
 
+#: Where design documents lie.
+DESIGN = "docs/adr"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _files(spark: SparkSession, root: str, pattern: str, deep: bool) -> DataFrame:
     """(file_path under root, name, modified, content) of the files whose name matches."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).load(root)
@@ -27,7 +36,7 @@ def working_tree(spark: SparkSession, root: str) -> DataFrame:
     return found.filter(F.encode(text, "UTF-8") == F.col("content")).select(F.lit(0).cast("long").alias("seq"), F.lit("WORKTREE").alias("sha"), F.current_timestamp().alias("ts"), "file_path", text.alias("text"))
 
 
-def design_documents(spark: SparkSession, root: str, folder: str = "docs/adr") -> DataFrame:
+def design_documents(spark: SparkSession, root: str, folder: str = DESIGN) -> DataFrame:
     """(seq, file_path, text, modified) of the Markdown files of a folder."""
     found = _files(spark, f"{root.rstrip('/')}/{folder}", "*.md", False)
     return found.select(F.xxhash64("name").alias("seq"), F.concat(F.lit(folder + "/"), "name").alias("file_path"), F.decode("content", "UTF-8").alias("text"), "modified")
