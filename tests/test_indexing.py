@@ -25,34 +25,25 @@ def begun(tmp_path):
     return repo
 
 
-def test_decisions_beyond_the_depth_stay(spark, tmp_path):
+def test_what_an_incremental_run_keeps_and_documents_bind(spark, tmp_path):
     repo, e = begun(tmp_path), Engine(spark, str(tmp_path / "wh"))
     said = lambda: sorted(r["content"] for r in e._t("decisions").select("content").collect())
-    linked = lambda: {r["decision_uid"] for r in e._t("links").select("decision_uid").distinct().collect()}
+    linked = lambda: {(r["decision_uid"], r["file_path"]) for r in e._t("links").select("decision_uid", "file_path").distinct().collect()}
     e.index(str(repo), depth=2)
     assert said() == ["Use pool 1", "Use pool 2"]
     before = linked()
     assert len(before) == 2
     for n in (3, 4):
         commit(repo, n, f"2024-01-0{n}T10:00:00Z")
-    e.index(str(repo), depth=2)
-    assert said() == [f"Use pool {n}" for n in (1, 2, 3, 4)]
-    assert before < linked() and len(linked()) == 4
-    e.index(str(repo), depth=2)
-    assert said() == [f"Use pool {n}" for n in (1, 2, 3, 4)] and len(linked()) == 4
-    # One version back is kept for those who read it, and no more.
-    assert len([x for x in os.listdir(tmp_path / "wh") if x.startswith("v-")]) == 2
-
-
-def test_a_marker_in_a_document_binds(spark, tmp_path):
-    repo = begun(tmp_path)
     (repo / "docs/adr").mkdir(parents=True)
     filler = "This paragraph says nothing of note. " * 40
     (repo / "docs/adr/0001-pool.md").write_text(f"# Pool\n\n## Status\n\nAccepted\n\n## Decision\n\nWe keep one pool.\n\n## Context\n\n{filler}\n\n## Notes\n\n<!-- governs: src/pool.py -->\n")
-    e = Engine(spark, str(tmp_path / "wh"))
-    e.index(str(repo))
-    got = [(r["decision_uid"], r["file_path"]) for r in e._t("links").filter("decision_uid like 'docs/%'").collect()]
-    assert got == [("docs/adr/0001-pool.md::decision::adr@1", "src/pool.py")]
+    e.index(str(repo), depth=2)
+    assert said() == [*(f"Use pool {n}" for n in (1, 2, 3, 4)), "We keep one pool."]
+    assert before < linked() and len(linked()) == 5
+    assert ("docs/adr/0001-pool.md::decision::adr@1", "src/pool.py") in linked()
+    # One version back is kept for those who read it.
+    assert len([x for x in os.listdir(tmp_path / "wh") if x.startswith("v-")]) == 2
 
 
 def test_store_location_and_tables(spark, tmp_path, capsys):
