@@ -40,17 +40,111 @@ def test_cases(ours, library, text):
     assert "".join([*(d.push([i]) for i in found), d.end()]) == library.decode(found, skip_special_tokens=False) == text
 
 
-def test_stream_is_stable(ours):
-    rng = random.Random(5)
-    for letters in ("ab", "theing", "aeioutrs", "ha"):
-        data = "".join(rng.choice(letters) for _ in range(3000)).encode()
-        assert list(ours.stream(data[i : i + 17] for i in range(0, len(data), 17))) == ours.merged(data)
+def chunked(t, text, sizes, rng):
+    """Ids of a text pushed in chunks of random sizes, and the most that was held between them."""
+    e, out, most, i = bpe.Encoder(t), [], 0, 0
+    while i < len(text):
+        k = rng.choice(sizes)
+        out.append(e.push(text[i : i + k]))
+        most = max(most, len(e.held.encode()) + len(e.window.held))
+        i += k
+    out.append(e.end())
+    return list(memoryview(b"".join(out)).cast("I")), most
+
+
+LONG = ["a" * 60_000, " " * 40_000 + "x", "'" * 9000 + "re", "\n \t" * 9000 + "\n", "ab1" * 9000, "é!" * 9000, "<|endoftext" * 3000 + "|>", "don't 'll 've''re " * 900, " <|endoftext|> " * 900, "日本" * 9000]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_any_chunks_in_constant_memory(ours, library, text):
+    rng = random.Random(8)
+    want = library.encode(text, add_special_tokens=False).ids
+    for sizes in ([1], [1, 2, 3, 17], [5000]):
+        got, most = chunked(ours, text[:3000] if sizes == [1] else text, sizes, rng)
+        assert got == (library.encode(text[:3000], add_special_tokens=False).ids if sizes == [1] else want)
+        assert most <= ours.window + 4 * (ours.most_special + bpe.BEHIND)
+
+
+@settings(max_examples=200, deadline=None)
+@given(parts=st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t ", "'", "'re", "'l", "l", "1", "<|endoftext|>", "<|endo", "|>", "é", "!?", "don't"]), max_size=30), seed=st.integers(0, 99))
+def test_borders_in_any_chunks(ours, library, parts, seed):
+    text = "".join(parts)
+    assert chunked(ours, text, [1, 2, 3, 5], random.Random(seed))[0] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_all_bytes_go_through_the_window(ours, monkeypatch):
+    """Without the table of steps, each byte of a text is pushed into a window once."""
+    seen = []
+    push = bpe.Window.push
+    monkeypatch.setattr(bpe.Window, "push", lambda self, data: seen.append(len(data)) or push(self, data))
+    text = "the quick brown fox, it's 12 o'clock\n\n  " * 500 + "a" * 20_000
+    monkeypatch.setattr(bpe.Steps, "__setitem__", lambda *a: None)
+    monkeypatch.setattr(ours, "steps", bpe.Steps(ours))
+    ours.encode(text)
+    assert sum(seen) == len(text.encode())
+
+
+class Small:
+    """A made-up merge list over a few letters, in the shape that Window needs."""
+
+    def __init__(self, rng, letters, n):
+        self.bytes_of, self.first = [bytes([97 + i]) for i in range(letters)], {97 + i: i for i in range(letters)}
+        self.merges = []
+        while len(self.merges) < n:
+            x, y = rng.randrange(len(self.bytes_of)), rng.randrange(len(self.bytes_of))
+            whole = self.bytes_of[x] + self.bytes_of[y]
+            if len(whole) <= 5 and whole not in self.bytes_of:
+                self.merges.append((x, y, len(self.bytes_of)))
+                self.bytes_of.append(whole)
+        self.rank = {x << 32 | y: r << 32 | z for r, (x, y, z) in enumerate(self.merges)}
+        self.lookahead = bpe.sufficient_lookahead(self.merges, [len(b) for b in self.bytes_of])
+        self.window = self.lookahead + 1
+
+    merged = bpe.Transducer.merged
+
+
+def needed(of, longest):
+    """The least lookahead that is right for every text up to a length, by trying all: how far before the end a token of a beginning can still be wrong."""
+    most = 0
+    texts = [b""]
+    for _ in range(longest):
+        texts = [t + bytes([c]) for t in texts for c in of.first]
+    ends = {t: [] for t in texts}
+    for t in texts:
+        at, whole = 0, set()
+        for x in of.merged(t):
+            whole.add((at, at + len(of.bytes_of[x]), x))
+            at += len(of.bytes_of[x])
+        ends[t] = whole
+    for t in texts:
+        for n in range(1, longest):
+            at = 0
+            for x in of.merged(t[:n]):
+                span = (at, at + len(of.bytes_of[x]), x)
+                if span not in ends[t]:
+                    most = max(most, n - span[1] + 1)
+                    break
+                at = span[1]
+    return most
 
 
 def test_lookahead_suffices_and_is_needed():
-    """A small merge list: what follows decides tokens up to the lookahead away, never further."""
-    merges = [(0, 1, 2), (1, 0, 3), (2, 0, 4), (0, 2, 5)]
-    assert bpe.sufficient_lookahead(merges, [1, 1, 2, 2, 3, 3]) >= 2
+    """Over all texts of small merge lists: streaming gives what whole texts give, and the bound is never under what trying all shows to be needed."""
+    rng, tight, positive = random.Random(21), 0, 0
+    for _ in range(60):
+        of = Small(rng, rng.choice([2, 3]), rng.randrange(1, 7))
+        least = needed(of, 9 if len(of.first) == 2 else 6)
+        assert least <= of.lookahead
+        tight += least == of.lookahead
+        positive += least > 0
+        for _ in range(40):
+            data = bytes(97 + rng.randrange(len(of.first)) for _ in range(60))
+            w, got = bpe.Window(of), []
+            of.window = of.lookahead + max(map(len, of.bytes_of))  # the least with which every step emits
+            for i in range(0, 60, 7):
+                got += w.push(data[i : i + 7])
+            assert got + w.border() == of.merged(data)
+    assert positive > 40 and tight > 10
     assert bpe.sufficient_lookahead([], [1]) == 0
 
 
