@@ -104,11 +104,50 @@ def test_pu_risk_is_corrected():
     rng = np.random.default_rng(0)
     row = lambda toxic: np.unique(np.append(rng.integers(1, 50, 10), [0] if toxic else []).astype(np.int64))
     pos, unl = [row(True) for _ in range(200)], [row(i % 5 == 0) for i in range(1000)]
-    w, b = toxicity.non_negative_pu(pos, unl, 0.2, 50)
+    w, b = toxicity.non_negative_pu(toxicity.in_rows(pos), toxicity.in_rows(unl), 0.2, 50)
     z = lambda r: w[r].sum() + b
     assert np.mean([z(r) > 0 for r in pos]) > 0.95 and np.mean([z(row(False)) < 0 for _ in range(200)]) > 0.95
 
 
+def test_pu_risk_and_gradient():
+    """The risk by its definition, row by row, and the gradient against differences, on both sides of the clamp."""
+    rng, prior = np.random.default_rng(4), 0.3
+    sides = set()
+    for trial in range(12):
+        pos, unl = ([np.unique(rng.integers(0, 9, 5)) for _ in range(n)] for n in (7, 11))
+        w, b = rng.normal(size=9) * (1 if trial % 2 else 4), float(rng.normal()) - (6 if trial % 3 == 0 else 0)
+        z = lambda r: w[r].sum() + b
+        softplus = lambda x: np.log1p(np.exp(-abs(x))) + max(x, 0)
+        negative = np.mean([softplus(z(r)) for r in unl]) - prior * np.mean([softplus(z(r)) for r in pos])
+        sides.add(negative >= 0)
+        p, u = toxicity.in_rows(pos), toxicity.in_rows(unl)
+        risk, g, g_b = toxicity.pu_risk(p, u, w, b, prior)
+        assert risk == pytest.approx(prior * np.mean([softplus(-z(r)) for r in pos]) + max(0, negative))
+        for k in range(10):
+            step = np.eye(10)[k] * 1e-6
+            up, down = (toxicity.pu_risk(p, u, w + s * step[:9], b + s * step[9], prior)[0] for s in (1, -1))
+            assert (up - down) / 2e-6 == pytest.approx(g[k] if k < 9 else g_b, abs=1e-5)
+    assert sides == {True, False}
+
+
+def test_scores_by_hand_and_repeated_ids(spark, frame):
+    docs, labels = toxic_rows()
+    lab = spark.createDataFrame(labels + [(labels[0][0], 1, 1 - labels[0][2]), (labels[1][0], 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    d = frame(docs + [(docs[0][0], "another text of the same id"), (docs[2][0], docs[2][1]), (None, docs[3][1]), (5, None)])
+    m = toxicity.fit(d, lab)
+    weight = dict(zip(m.slots.tolist(), m.weights.tolist()))
+    for r in d.join(toxicity.score(d, m).filter("doc_id is not null").select("doc_id", "score").distinct(), "doc_id").groupBy("doc_id").agg({"text": "collect_list", "score": "collect_set"}).collect():
+        want = set()
+        for text in r["collect_list(text)"] or [""]:
+            words = {w.encode() for w in "".join(c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " " for c in text).split()}
+            begun = {b"^" + w[:n] for w in words for n in (4, 5, 6, 7, 8) if len(w) > n}
+            z = (m.offset + sum(weight.get(toxicity.slot(w, m.bits), 0) for w in words | begun)) * 1e-6
+            want.add(round(1 / (1 + np.exp(-(m.slope * z + m.shift))), 9))
+        assert want <= {round(x, 9) for x in r["collect_set(score)"]}
+    assert toxicity.score(d, m).count() == d.count()
+    assert str(toxicity.fit(d, lab)) == str(m)  # a second fit is the same
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: 1 + i % 3 for i, s in enumerate(names)}
