@@ -1,12 +1,13 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-Every rolling 2-gram of words is hashed and joined to the positions of the same 2-gram in the templates (a fixed list, so broadcast). A hit votes for the
-diagonal `document position - template position`. Diagonals with two votes or more that lie at most GAP apart are merged, so that a few words put in or left out
-don't split a notice, and a merged span is verified by the share of the template's 2-grams it covers.
+Every rolling k-gram of words (k is 2 for the short phrases, 3 for notices and whole license texts) is hashed and joined to the positions of the same k-gram in the templates (a fixed list, so
+broadcast); the words themselves are then compared, so a vote is never a collision of hashes. A hit votes for the diagonal `document position - template position`.
+Diagonals with two votes or more that lie at most GAP apart are merged, so that a few words put in or left out don't split a notice, and a merged
+span is verified by the share of the template's k-grams whose words it has.
 
-Base phrases count where they stand word for word: all 2-grams of the phrase on one diagonal. Longer notices give further labels from COVER coverage on.
+Base phrases count where they stand word for word: all 2-grams of the phrase on one diagonal. Notices and texts give further labels from COVER coverage on.
 
-Words are maximal runs of ASCII letters and digits and of any non-ASCII character, after lower-casing (which keeps borders between words).
+Words are maximal runs of ASCII letters and digits and of any non-ASCII character; A-Z are lower-cased and nothing else.
 
 Defined results: null and empty texts have no words, no labels and score 0; a text of one word has no 2-gram; every row gives one row, repeated rows and doc_ids
 included (rows are told apart by a number of their own); other columns are ignored. Nothing is gathered beyond the hits of one text.
@@ -14,45 +15,48 @@ included (rows are told apart by a number of their own); other columns are ignor
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: The phrases of the contract with their labels, and opening words of public license notices.
+from provspark.llm import notices
+
+#: The phrases of the contract with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit-notice",
-    "licensed under the apache license version 2 0 you may not use this file except in compliance with the license": "apache-notice",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-notice",
-    "this work is licensed under a creative commons attribution 4 0 international license": "cc-notice",
-    "this source code form is subject to the terms of the mozilla public license": "mpl-notice",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-notice",
-}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 2
 COVER = 0.6
 
 
+def templates() -> list[tuple[list[str], int, str, bool]]:
+    """(words, k, label, whether it is a base phrase)."""
+    words = lambda said: re.findall(r"[a-z0-9]+", said.lower())
+    found = [(words(said), 2, label, True) for said, label in PHRASES.items()]
+    return found + [(words(said), 3, label, False) for texts in (notices.OPENINGS, notices.TEXTS) for label, said in texts.items()]
+
+
 def template_grams(spark) -> DataFrame:
-    """(gram, template, at, n_grams, label, base): a row for each 2-gram of each template."""
-    rows = []
-    for k, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
-        w = text.split()
-        rows += [(w[i], w[i + 1], k, i, len(w) - 1, label, k < len(PHRASES)) for i in range(len(w) - 1)]
-    schema = "w1 string, w2 string, template int, at int, n_grams int, label string, base boolean"
-    return spark.createDataFrame(rows, schema).select(F.xxhash64("w1", "w2").alias("gram"), "template", "at", "n_grams", "label", "base")
+    """(gram, said, template, at, n_grams, label, base): a row for each k-gram of each template."""
+    rows = [(" ".join(w[i : i + k]), t, i, len(w) - k + 1, label, base) for t, (w, k, label, base) in enumerate(templates()) for i in range(len(w) - k + 1)]
+    schema = "said string, template int, at int, n_grams int, label string, base boolean"
+    return spark.createDataFrame(rows, schema).select(F.xxhash64("said").alias("gram"), F.col("said").alias("meant"), "template", "at", "n_grams", "label", "base")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs (doc_id, text)."""
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), BREAKS), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), BREAKS), "")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "words")
-    n = F.size("words")
-    grams = F.when(n > 1, F.slice(F.zip_with("words", F.slice("words", F.lit(2), n), lambda a, b: F.xxhash64(a, b)), F.lit(1), n - 1)).otherwise(F.array().cast(T.ArrayType(T.LongType())))
-    rolled = d.select("row", "doc_id", "n_words", F.posexplode_outer(grams).alias("pos", "gram"))
-    hits = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "gram", "left").filter("template is not null or coalesce(pos, 0) = 0")
+    later = lambda k: F.slice("words", F.lit(k + 1), F.size("words"))
+    twos = F.zip_with("words", later(1), lambda a, b: F.concat(a, F.lit(" "), b))  # null behind the last words
+    threes = F.zip_with(twos, later(2), lambda ab, c: F.concat(ab, F.lit(" "), c))
+    placed = lambda grams: F.transform(grams, lambda said, i: F.struct(i.alias("pos"), said.alias("said")))
+    rolled = d.select("row", "doc_id", "n_words", F.explode_outer(F.concat(placed(twos), placed(threes))).alias("g")).select("row", "doc_id", "n_words", "g.pos", "g.said", F.xxhash64("g.said").alias("gram"))
+    met = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "gram", "left").filter("template is not null or coalesce(pos, 0) = 0")
+    same = F.col("said") == F.col("meant")
+    hits = met.select("row", "doc_id", "n_words", *[F.when(same, F.col(c)).alias(c) for c in ("pos", "template", "at", "n_grams", "label", "base")])
     key = ["row", "doc_id", "n_words"]
     votes = (
         hits.groupBy(*key, "template", "n_grams", "label", "base", (F.col("pos") - F.col("at")).alias("diagonal"))
@@ -84,18 +88,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same in DuckDB's SQL."""
-    rows = []
-    for k, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
-        w = text.split()
-        rows += [f"('{w[i]}', '{w[i + 1]}', {k}, {i}, {len(w) - 1}, '{label}', {'true' if k < len(PHRASES) else 'false'})" for i in range(len(w) - 1)]
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    quoted = lambda w, i: f"'{w[i]}'" if i < len(w) else "null"
+    rows = [f"({quoted(w, i)}, {quoted(w, i + 1)}, {quoted(w, i + 2) if k > 2 else 'null'}, {t}, {i}, {len(w) - k + 1}, '{label}', {'true' if base else 'false'})" for t, (w, k, label, base) in enumerate(templates()) for i in range(len(w) - k + 1)]
     return f"""
-with t(w1, w2, template, off, n_grams, label, base) as (values {", ".join(rows)}),
-d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
-w as (select r, doc_id, len(words) as n_words, unnest(words) as w1, unnest(list_concat(words[2:], [null])) as w2, unnest(range(len(words))) as pos from d),
+with t(w1, w2, w3, template, off, n_grams, label, base) as (values {", ".join(rows)}),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
+w as (select r, doc_id, len(words) as n_words, unnest(words) as a, unnest(list_concat(words[2:], [null])) as b, unnest(list_concat(words[3:], [null, null])[1:len(words)]) as c, unnest(range(len(words))) as pos from d),
 votes as (
   select r, template, n_grams, label, base, pos - off as diagonal, count(*) as votes, list(off) as ats
-  from w join t using (w1, w2) group by all),
+  from w join t on w.a = t.w1 and w.b = t.w2 and (t.w3 is null or w.c = t.w3) group by all),
 m as (select *, votes >= 2 and not base as heavy from votes),
 g as (select *, last_value(case when heavy then diagonal end ignore nulls) over (partition by r, template order by diagonal rows between unbounded preceding and 1 preceding) as prev from m),
 s as (select *, sum(case when heavy and coalesce(diagonal - prev <= {GAP}, false) then 0 else 1 end) over (partition by r, template order by diagonal rows between unbounded preceding and current row) as span from g),

@@ -1,6 +1,7 @@
 """Licenses, SpotSigs, toxicity, mixing and WARC derivatives."""
 
 import hashlib
+import re
 import zlib
 from html.parser import HTMLParser
 from itertools import combinations
@@ -8,11 +9,12 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from provspark.llm import licenses, mixing, spotsigs, toxicity, warc
+from provspark.llm import licenses, mixing, notices, spotsigs, toxicity, warc
 
 
 def test_license_rows(spark, frame, odd):
-    notice = " ".join(list(licenses.NOTICES)[0].split()[:6] + ["really"] + list(licenses.NOTICES)[0].split()[6:])
+    opening = notices.OPENINGS["mit-notice"].split()
+    notice = " ".join(opening[:6] + ["really"] + opening[6:])
     df = frame([*odd, (20, "CC-BY, cc by! All Rights Reserved"), (21, "x " * 500 + notice), (22, "general public"), (23, "GENERAL Public license general public LICENSE")])
     got = {}
     for r in licenses.scan(df).collect():
@@ -27,6 +29,32 @@ def test_license_rows(spark, frame, odd):
     assert licenses.scan(frame([])).count() == 0
 
 
+def test_license_texts(spark, frame):
+    """Whole texts, with every twentieth word left out, are known by their labels; only A-Z are lower-cased."""
+    rows, want = [], {}
+    for i, (label, said) in enumerate(notices.TEXTS.items()):
+        words = said.split()
+        rows += [(2 * i, "Before it. " + said), (2 * i + 1, " ".join(w for k, w in enumerate(words) if k % 20 != 19))]
+        want |= {2 * i: label, 2 * i + 1: label}
+    got = {r["doc_id"]: r for r in licenses.scan(frame([*rows, (90, "\u212aelvin A\u0130B"), (91, "\u0130general public license")])).collect()}
+    assert all(want[i] in got[i]["labels"].split(",") for i in want)
+    assert all(got[2 * i]["score"] == 1.0 for i in range(len(notices.TEXTS)))
+    assert got[90]["labels"] == "" and got[90]["n_words"] == 2 and got[91]["n_base"] == 0
+
+
+def test_license_base_by_reading(spark, frame):
+    """n_base, first_word, last_word and base_labels against phrases looked up word by word."""
+    rng = np.random.default_rng(12)
+    pool = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x", "CC", "By", "licens\u00e9"]
+    docs = [(i, rng.choice([" ", "-", ", "]).join(rng.choice(pool, rng.integers(0, 60)))) for i in range(150)]
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan(frame(docs)).collect()}
+    for i, text in docs:
+        words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+        hits = [(k, label) for phrase, label in licenses.PHRASES.items() for p in [phrase.split()] for k in range(len(words)) if words[k : k + len(p)] == p]
+        at = [k for k, _ in hits]
+        assert got[i] == (len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits})))
+
+
 def brute_edits(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
     s = spotsigs.Spots()
