@@ -21,6 +21,7 @@ import html
 import io
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -45,7 +46,8 @@ SILENT = frozenset("script style template".split())
 #: Elements that may begin in a head.
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "video": "src", "audio": "src", "embed": "src", "form": "action"}
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_NAME_END = re.compile(r"[\s/>]")
+_MARKS = re.compile("[>\"']")
 _AREA_END = re.compile(r"</textarea\s*>", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -59,11 +61,60 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{'89ab'[int(h[16], 16) % 4]}{h[17:20]}-{h[20:32]}>"
 
 
+class Tags:
+    """Where the tags of a page end, in time that grows with the page and no faster, however many tags are never closed.
+
+    A tag ends at the first `>` behind its name that no pair of quotes encloses. Which one that is depends on the first mark (`>` or a quote) only, so what one unclosed
+    tag has found out holds for all that come to the same marks.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.name_end = page, page.rfind(">"), -1
+        self.marks: list[int] | None = None
+        self.quotes: dict[str, list[int]] = {}
+        self.ends: dict[int, int] = {}
+
+    def at(self, lt: int) -> tuple[bool, str, int, int] | None:
+        """(closing, name, where its attributes begin, where its `>` stands) of the tag at a `<`, or None for a stray one."""
+        page, closing = self.page, self.page.startswith("/", lt + 1)
+        start = lt + 1 + closing
+        if lt > self.last or not (page[start : start + 1].isascii() and page[start : start + 1].isalpha()):
+            return None
+        if self.name_end <= start:
+            m = _NAME_END.search(page, start)
+            self.name_end = m.start() if m else len(page)
+        gt = self._end(self.name_end)
+        return None if gt < 0 else (closing, page[start : self.name_end].lower(), self.name_end, gt)
+
+    def _end(self, behind: int) -> int:
+        if self.marks is None:
+            self.marks = [m.start() for m in _MARKS.finditer(self.page)]
+            self.quotes = {q: [i for i in self.marks if self.page[i] == q] for q in "\"'"}
+        path, found = [], -1
+        k = bisect_left(self.marks, behind)
+        while k < len(self.marks):
+            mark = self.marks[k]
+            if mark in self.ends:
+                found = self.ends[mark]
+                break
+            path.append(mark)
+            if self.page[mark] == ">":
+                found = mark
+                break
+            same = self.quotes[self.page[mark]]
+            close = bisect_left(same, mark + 1)
+            if close == len(same):
+                break
+            k = bisect_left(self.marks, same[close] + 1)
+        self.ends.update(dict.fromkeys(path, found))
+        return found
+
+
 def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]], list[tuple[str, str]]]:
     """(text, title, [(element@attribute, absolute url)], [(meta name, content)]) in one pass from left to right."""
     at, out, title, links, metas = 0, [], [], [], []
     in_head = in_title = False
-    drawings = 0
+    drawings, tags = 0, Tags(page)
     while at < len(page):
         lt = page.find("<", at)
         data = page[at : lt if lt >= 0 else len(page)]
@@ -84,27 +135,28 @@ def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]
             end = page.find(">", lt)
             at = end + 1 if end >= 0 else len(page)
             continue
-        m = _TAG.match(page, lt)
-        if not m:
+        tag = tags.at(lt)
+        if not tag:
             in_head = in_head and in_title
             out.append("<")
             at = lt + 1
             continue
-        at, name = m.end(), m[2].lower()
+        closing, name, begun, gt = tag
+        at, empty = gt + 1, page[gt - 1] == "/" and gt > begun
         if name in BLOCKS:
             out.append("\n")
         if name == "head":
-            in_head = not m[1]
+            in_head = not closing
         elif name == "title" and not drawings:
-            in_title = not m[1]
-        elif name == "svg" and not m[3].endswith("/"):
-            drawings = max(0, drawings + (-1 if m[1] else 1))
-        if name == "body" or not (m[1] or in_title or name in HEAD):
+            in_title = not closing
+        elif name == "svg" and not empty:
+            drawings = max(0, drawings + (-1 if closing else 1))
+        if name == "body" or not (closing or in_title or name in HEAD):
             in_head = False
-        if m[1]:
+        if closing:
             continue
         if name in LINKS or name == "meta":
-            attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])}
+            attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(page, begun, gt)}
             if name == "meta":
                 if label := attrs.get("name") or attrs.get("property"):
                     metas.append((label, attrs.get("content", "")))
@@ -114,7 +166,7 @@ def read_page(page: str, base: str = "") -> tuple[str, str, list[tuple[str, str]
                 except ValueError:
                     pass
                 links.append((f"{name}@{LINKS[name]}", url))
-        if name in SILENT and not m[3].endswith("/"):
+        if name in SILENT and not empty:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name == "textarea":

@@ -1,5 +1,8 @@
 """Texts and pairs that were left out."""
 
+import random
+import re
+import time
 import numpy as np
 import pytest
 
@@ -53,3 +56,22 @@ def test_page_text_is_whole(page, text):
 
 def test_title_of_a_drawing_is_not_the_page_title():
     assert warc.read_page("<head><title>T</title></head><svg><title>drawn</title></svg>")[1] == "T"
+
+
+def test_tags_end_where_quotes_allow():
+    """Ends of tags in random scraps of markup, against a pattern that says the same."""
+    tag = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+    rng = random.Random(6)
+    for _ in range(3000):
+        page = "".join(rng.choice(["<", "<a", "</p", ">", '"', "'", " ", "=", "x", "/", "\n", "é", "<img src="]) for _ in range(rng.randrange(25)))
+        tags = warc.Tags(page)
+        for lt in (i for i, c in enumerate(page) if c == "<"):
+            m, got = tag.match(page, lt), tags.at(lt)
+            assert got == (m and (bool(m[1]), m[2].lower(), m.end(2), m.end() - 1)), (page, lt)
+
+
+@pytest.mark.parametrize("scrap", ["<a ", "<a '", '<a "x', "<a<", "<a' >", "<!--", "<script>", "<textarea>", "<a b='", "</", "<a b c=d ", "&amp"])
+def test_broken_pages_take_time_by_their_length(scrap):
+    began = time.perf_counter()
+    warc.read_page(scrap * (600_000 // len(scrap)) + " >")
+    assert time.perf_counter() - began < 8
