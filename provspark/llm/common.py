@@ -61,6 +61,17 @@ def drop_cut(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df has no columns of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Has the JVM send at most BATCH_ROWS rows and about BATCH_BYTES at a time, unless the session asks for less: texts can be long.
 

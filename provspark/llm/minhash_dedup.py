@@ -27,9 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from provspark.llm.common import U64, WordTable, components, cut, drop_cut, in_arrow, mix
+from provspark.llm.common import U64, WordTable, components, cut, drop_cut, free_names, in_arrow, mix
 
 SHINGLE, PERCENT = 5, 80
 COORDINATES, MINIMA, LEAST = 32, 2, 7
@@ -100,10 +99,11 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, set) for wanted (id, doc_id, d1, d2): full sets as longs, made again from the texts."""
+    """(id, set) for wanted (id, doc_id, h, d1, d2): full sets as longs, made again from the texts. A set is met by doc_id and hash of the text, so rows that share a doc_id, or have none, meet only their own."""
     none = F.lit(-(1 << 63)).cast("long")
-    w = wanted.select("id", F.coalesce("doc_id", none).alias("key"), "d1", "d2")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("key"), "text").join(w, "key").select("id", "d1", "d2", "text")
+    w = wanted.select("id", F.coalesce("doc_id", none).alias("key"), "h", "d1", "d2")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("key"), F.xxhash64("text").alias("h"), "text")
+    rows = keyed.join(w, ["key", "h"]).select("id", "d1", "d2", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
@@ -238,13 +238,13 @@ def _within(rows: list[tuple], marked: np.ndarray, percent: int) -> Iterator[tup
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, h (hash of the text), n (size of the set), g (its group, null for an empty set) for each row of docs (doc_id, text)."""
     base = cut(signed(docs, k).withColumn("row_id", F.monotonically_increasing_id()), "signed")
-    reps = cut(base.filter("n > 0").groupBy("d1", "d2").agg(F.min("row_id").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "distinct-sets")
+    reps = cut(base.filter("n > 0").groupBy("d1", "d2").agg(F.min("row_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("of"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("d1", "d2", "id", "of.doc_id", "of.h", "n", "sig"), "distinct-sets")
     each = reps.select("id", "n", F.posexplode("sig").alias("c", "v")).select("id", "n", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v")).alias("token"))
     seen = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = each.join(seen, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("known"))  # at most COORDINATES
     rare = known.filter(F.size("known") >= LEAST).select("id", "n", F.explode(F.slice("known", F.lit(1), F.size("known") - LEAST + 1)).alias("k"))
     listed = cut(rare.select("id", "n", F.col("k.token").alias("token")), "listed")
-    sets = cut(set_table(docs, reps.select("id", "doc_id", "d1", "d2").join(listed.select("id").distinct(), "id"), k), "sets")
+    sets = cut(set_table(docs, reps.select("id", "doc_id", "h", "d1", "d2").join(listed.select("id").distinct(), "id"), k), "sets")
     posts = cut(listed.join(shareable(sets), "id").filter(f"100 * known >= {percent} * n"), "postings")
     hubs = posts.groupBy("token").agg(F.min("id").alias("b"))
     about = posts.select(F.col("id").alias("a"), "token").join(hubs, "token").filter("a <> b").select("a", "b").distinct()
@@ -276,11 +276,11 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 
     Rows are told apart by doc_id and text, so rows with one doc_id and texts of different groups stay, and of rows without a doc_id those with a group's text go. Texts without words stay.
     """
-    none = F.lit(-(1 << 63)).cast("long")
-    key = F.coalesce(F.col("doc_id").cast("long"), none).alias("key_")
-    marked = grouped(docs, k, percent).filter("g is not null").select("g", F.struct(F.col("doc_id").isNull().alias("last"), key, F.col("h").alias("h_")).alias("mark"))
+    none, (key, h) = F.lit(-(1 << 63)).cast("long"), free_names(docs, "key", "h")
+    of = F.coalesce(F.col("doc_id").cast("long"), none)
+    marked = grouped(docs, k, percent).filter("g is not null").select("g", F.struct(F.col("doc_id").isNull().alias("last"), of.alias("key"), "h").alias("mark"))
     best = marked.groupBy("g").agg(F.min("mark").alias("best"))
-    gone = marked.join(best, "g").filter("mark <> best").select("mark.key_", "mark.h_").distinct()
-    left = docs.select("*", key, F.xxhash64("text").alias("h_")).join(gone, ["key_", "h_"], "left_anti")
-    same = F.row_number().over(Window.partitionBy("key_", "h_").orderBy(F.lit(1)))
-    return left.withColumn("nth_", same).filter("nth_ = 1").select(*docs.columns)
+    gone = marked.join(best, "g").filter("mark <> best").select(F.col("mark.key").alias(key), F.col("mark.h").alias(h)).distinct()
+    left = docs.select("*", of.alias(key), F.xxhash64("text").alias(h)).join(gone, [key, h], "left_anti")
+    # Rows that are left and share a key repeat each other; what is kept of them is picked before the shuffle as well, so that no group of them is gathered.
+    return left.dropDuplicates([key, h]).select(*docs.columns)

@@ -195,6 +195,33 @@ def test_minhash_empty_and_stage(spark, frame, odd):
     assert sorted(kept, key=str) == sorted([1, 2, 3, 4, 5, None, 7, 8, 10], key=str)
 
 
+def test_minhash_stage_tells_rows_apart(spark):
+    """Rows that share a doc_id, or have none, against a plain reading: each group keeps its least row, every other text stays. Helper columns clash with those of docs."""
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda: " ".join(rng.choice(words, 40))
+    x, q, z = text(), text(), text()
+    near = " ".join([*x.split()[:-1], "changed"])
+    rows = [(3, x), (5, x), (5, text()), (7, q), (7, z), (None, x), (None, q), (None, text()), (None, text()), (9, near), (9, text()), (4, ""), (None, None), (7, z), *[(None, z)] * 20]
+    rows = [(i, t, k, -k, "s") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, h long, source string")
+    sets = [frozenset(zip(*[(t or "").split()[k:] for k in range(5)])) for _, t, *_ in rows]
+    like = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if like(sets[a], sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    want = []
+    for g in sorted(set(group)):
+        members = [rows[k] for k in range(len(rows)) if group[k] == g]
+        want += [min(((m[0] is None, m[0] or 0, m[1]) for m in members), key=lambda m: m[:2])] if sets[g] or len(members) > 1 else [(members[0][0] is None, members[0][0] or 0, members[0][1])]
+    got = minhash_dedup.one_of_each(docs)
+    assert got.columns == docs.columns
+    found = [(r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got.collect()]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
 def test_set_size_is_exact():
     assert len(minhash_dedup.shingle_set("A b a B c", 2, WordTable())) == 3
     assert len(minhash_dedup.shingle_set("one", 2, WordTable())) == 1 and not len(minhash_dedup.shingle_set(None, 2, WordTable()))
