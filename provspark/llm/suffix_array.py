@@ -42,19 +42,34 @@ def grouped(text: np.ndarray) -> tuple[list[int], list[int]]:
                     sa[at], place[other], sa[last], place[p] = other, at, p, last
                     size[old], size[last], link[p] = m - 1, 1, last
         else:
-            count: dict[int, int] = {}
-            for s in sorted(sa[g : end + 1]):
+            # Previous smaller suffixes of the whole group. One that lies in the group itself is a repeat of the same prefix: all of such a run follow what comes before its first.
+            members = sa[g : end + 1]
+            for s in members:
                 p = s - 1
                 while p >= 0 and link[p] > g:
                     p = prev[p]
-                if p >= 0 and link[p] == g:
-                    p = prev[p]  # a repeat of the same prefix: both follow what comes before the first
                 prev[s] = p
+            count: dict[int, int] = {}
+            for s in members:
+                run = []
+                while prev[s] >= 0 and link[prev[s]] == g:
+                    run.append(s)
+                    s = prev[s]
+                p = prev[s]
+                for r in run:
+                    prev[r] = p  # later members of the run stop here at once
+            for s in members:
+                p = prev[s]
                 if p >= 0:
                     count[p] = count.get(p, 0) + 1
-            for k in sorted(set(count.values()), reverse=True):
+            # Those reached more often come first; dealt by their number, so that all of it takes time by the size of the group.
+            by_count: list[list[int]] = []
+            for p, c in count.items():
+                while len(by_count) < c:
+                    by_count.append([])
+                by_count[c - 1].append(p)
+            for those in reversed(by_count):
                 moved: dict[int, int] = {}
-                those = [p for p, c in count.items() if c == k]
                 for p in those:
                     old = link[p]
                     m = moved.get(old, 0) + 1

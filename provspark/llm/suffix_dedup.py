@@ -188,8 +188,8 @@ class Block:
         self.strings: list[tuple[bytes, bytes, int, int, list]] = []  # bytes before and behind the core, crowd, windows' symbols, (row, start) of single pieces
         self.crowds = self.size = 0
 
-    def add(self, group: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        """Takes the pieces of one key; yields (row, start, stop) of repeats that show without an array."""
+    def add(self, group: list[tuple]) -> None:
+        """Takes the pieces of one key, trimmed to what another of them shares. A form that several pieces have comes in twice, so that the array finds it repeated."""
         width = group[0][7]
         core = LENGTH - width
         left = [g[8][: g[5]][::-1] for g in group]
@@ -197,16 +197,10 @@ class Block:
         forms: dict[tuple[bytes, bytes], list] = {}
         for g, x, y, i, j in zip(group, left, right, reach(left), reach(right), strict=True):
             if i + j >= width:  # else no window has an equal
-                forms.setdefault((x[:i][::-1], y[:j]), []).append((g[2], g[3], g[4] + g[5] - i, i + j + core))
-        if len(forms) > 1:
-            self.crowds += 1
+                forms.setdefault((x[:i][::-1], y[:j]), []).append((g[2], g[3], g[4] + g[5] - i))
+        self.crowds += 1
         for (x, y), who in forms.items():
-            alike = len(who) > 1
-            singles = [(row, start) for single, row, start, _ in who if single]
-            if alike:
-                yield from ((row, start, start + n) for single, row, start, n in who if single)
-                singles = []
-            if len(forms) > 1:
+            for singles in [[(row, start) for single, row, start in who if single], []][: len(who)]:
                 self.strings.append((x, y, self.crowds, width + 1, singles))
                 self.size += len(x) + len(y) + 2
 
@@ -260,7 +254,7 @@ def repeats(fitting: DataFrame) -> DataFrame:
         def close() -> None:
             nonlocal block
             if len(group) > 1:
-                out.extend(block.add(group))
+                block.add(group)
             group.clear()
             if block.size >= BLOCK:
                 out.extend(block.repeats())
