@@ -1,9 +1,13 @@
 """Embedding near-duplicates by cosine: a PCA-ordered, tiled comparison that stops early.
 
-Vectors are scaled to length 1, turned into principal coordinates (from the second moments of all rows, gathered as one matrix) and sorted by the leading one into
-tiles of at most TILE rows. For a pair of tiles the leading coordinates are multiplied first; with the length of each vector's rest as one more coordinate, that
-product bounds the cosine from above, and pairs below the threshold end there. The next coordinates join for those left, and what comes through all stages is compared whole, in
-double precision. Tile pairs whose leading coordinates or boxes rule out the threshold are never met.
+Vectors are scaled to length 1, turned into principal coordinates (from the second moments of all rows, gathered as one matrix) and cut into tiles by ranges of the first AXES
+of them. A tile, and in a task each CHUNK rows of it, has a box: least and greatest value of each of the first BOX coordinates, and the greatest length of the rest behind them. Two boxes
+bound every cosine between them from above (the largest products coordinate by coordinate, and the product of the rests); pairs of boxes under the threshold
+are never met, of tiles nor of chunks. Of the others the leading coordinates are multiplied first; with the length of each vector's rest as one more coordinate, that product bounds the
+cosine from above, and pairs below the threshold end there. The next coordinates join for those left, and what comes through all stages is compared whole, in double precision.
+
+A tile is sent once to each tile that its box meets, so tiles are as large as TILE_BYTES allows. Vectors without structure in their leading coordinates rule nothing out, and
+then both the comparison and what is sent grow with the square of their number.
 
 Equal vectors are one row with a count before they are compared. A tile pair gives counts and a spanning star for each of its groups, never its pairs.
 
@@ -24,8 +28,14 @@ from pyspark.sql import functions as F
 from provspark.llm.common import components, cut, drop_cut, in_arrow, place_among
 
 THRESHOLD = 0.9
-#: Rows of a tile. A task holds two tiles and a product of CHUNK rows of one with the other.
-TILE, CHUNK = 4096, 512
+#: Bytes of a tile's vectors, and rows of a chunk of it. A task holds two tiles and a product of one chunk with the other tile.
+TILE_BYTES, CHUNK = 8 << 20, 512
+#: Coordinates by whose ranges tiles are cut, and those that a box has.
+AXES, BOX = 3, 8
+#: So many tiles at least where there are rows for them: pairs of tiles are the tasks.
+LEAST_TILES, LEAST_ROWS = 6, 256
+#: Axes are worked out for the commonest dimensions, so many and no longer ones; others are compared by their coordinates as they come.
+MOST_DIMENSIONS, LONGEST = 16, 1024
 #: Leading coordinates after which a pair may end.
 STAGES = (16, 32)
 #: Slack of the bounds against rounding; pairs this close to the threshold are worked out from the vectors as they came.
@@ -39,7 +49,9 @@ def _valid(vectors: DataFrame) -> DataFrame:
 
 
 def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
-    """dimension -> axes as columns, the strongest first. What comes to the driver is one matrix for each dimension there is."""
+    """dimension -> axes as columns, the strongest first. What comes to the driver is at most MOST_DIMENSIONS matrices of LONGEST rows."""
+    sizes = reps.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).filter(F.col("d") <= LONGEST)
+    common = [r["d"] for r in sizes.orderBy(F.col("n").desc(), "d").limit(MOST_DIMENSIONS).collect()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -51,7 +63,7 @@ def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
             i, j = np.triu_indices(d)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d)), pa.array(i), pa.array(j), pa.array(m[i, j])], ["d", "i", "j", "s"])
 
-    rows = in_arrow(reps.select("embedding"), work, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
+    rows = in_arrow(reps.filter(F.size("embedding").isin(common)).select("embedding"), work, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).toPandas()
     axes = {}
     for d, part in rows.groupby("d"):
         m = np.zeros((d, d))
@@ -73,43 +85,73 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def tiles(reps: DataFrame, axes: dict[int, np.ndarray], n_tiles: int) -> DataFrame:
-    """(tile, d, n, low, high, ids, weights, vectors): blocks of rows sorted by the leading coordinate; low, high: ends of it."""
+def turned(unit: np.ndarray, axes: np.ndarray | None) -> np.ndarray:
+    return unit if axes is None else unit @ axes
+
+
+def box_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) of the first BOX coordinates and of the length behind them."""
+    lead = np.zeros((len(p), BOX + 1))
+    k = min(BOX, p.shape[1])
+    lead[:, :k] = p[:, :k]
+    lead[:, BOX] = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p[:, :k], p[:, :k])))
+    return lead.min(axis=0), lead.max(axis=0)
+
+
+def box_bound(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    """The most that a cosine between two boxes can be; the last axis of each is the coordinates."""
+    return np.maximum.reduce([low_a * low_b, low_a * high_b, high_a * low_b, high_a * high_b]).sum(axis=-1)
+
+
+def tiles(reps: DataFrame, axes: dict[int, np.ndarray], n: int) -> DataFrame:
+    """(tile, d, n, low, high, ids, weights, vectors) of n rows: tiles of rows sorted by ranges of their leading coordinates; low, high: their boxes."""
+    rows_of = lambda d: max(LEAST_ROWS, TILE_BYTES // (8 * d))
+    least = max(1, min(LEAST_TILES, n // LEAST_ROWS))
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first, dim = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            first, dim = np.zeros((AXES, b.num_rows)), np.zeros(b.num_rows, np.int64)
             for d, at, x in _by_dimension(b.column(2)):
-                first[at], dim[at] = _unit(x) @ axes[d][:, 0], d
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dim), pa.array(first)], ["id", "weight", "embedding", "d", "lead"])
-
-    led = cut(in_arrow(reps.select("id", "weight", "embedding"), lead, "id long, weight long, embedding array<double>, d long, lead double"), "leads")
-    cuts = led.stat.approxQuantile("lead", [k / n_tiles for k in range(1, n_tiles)], 0.1 / n_tiles) if n_tiles > 1 else []  # as many as tiles
-    dealt = led.withColumn("cut", place_among(F.col("lead"), sorted(cuts))).repartition("d", "cut").sortWithinPartitions("d", "cut", "lead", "id")
-    numbered = dealt.select("id", "weight", "embedding", "d", "lead", "cut", F.spark_partition_id().alias("part"))
+                first[: min(AXES, d), at], dim[at] = turned(_unit(x), axes.get(d))[:, :AXES].T, d
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dim), *map(pa.array, first)], ["id", "weight", "embedding", "d", *leads])
+
+    leads = [f"lead{k}" for k in range(AXES)]
+    led = cut(in_arrow(reps.select("id", "weight", "embedding"), lead, "id long, weight long, embedding array<double>, d long, " + ", ".join(f"{c} double" for c in leads)), "leads")
+    wanted = max(least, -(-n * 8 * (led.agg(F.max("d")).first()[0] or 1) // TILE_BYTES))
+    each, cell = max(1, round(wanted ** (1 / AXES))), F.lit(0)
+    shares = [-(-wanted // each ** (AXES - 1)), *[each] * (AXES - 1)]  # ranges of each coordinate, about `wanted` cells in all
+    levels = sorted({k / m for m in shares for k in range(1, m)})
+    cuts = led.stat.approxQuantile(leads, levels, 0.01) if levels else []
+    for c, m, at in zip(leads, shares, cuts):
+        borders = {k / m for k in range(1, m)}
+        cell = cell * m + place_among(F.col(c), sorted(v for v, q in zip(at, levels) if q in borders))  # no rows, no quantiles
+    dealt = led.withColumn("cell", cell).repartition(max(least, wanted // 4), "d", "cell").sortWithinPartitions("d", "cell", *leads, "id")
+    numbered = dealt.select("id", "weight", "embedding", "d", F.spark_partition_id().alias("part"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         k = 0
 
-        def block() -> pa.RecordBatch:
+        def tile() -> pa.RecordBatch:
             nonlocal k
-            ids, weights, vecs, d, leads, _, part = zip(*held, strict=True)
-            row = [part[0] << 32 | k, d[0], len(ids), leads[0], leads[-1], np.array(ids, np.int64).tobytes(), np.array(weights, np.int64).tobytes(), np.array(vecs, np.float64).tobytes()]
+            ids, weights, vecs, d, part = zip(*held, strict=True)
+            x = np.array(vecs, np.float64)
+            low, high = box_of(turned(_unit(x), axes.get(d[0])))
+            row = [part[0] << 32 | k, d[0], len(ids), low.tolist(), high.tolist(), np.array(ids, np.int64).tobytes(), np.array(weights, np.int64).tobytes(), x.tobytes()]
             k += 1
             held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], ["tile", "d", "n", "low", "high", "ids", "weights", "vectors"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (len(held) >= TILE or (held[0][3], held[0][5]) != (r[3], r[5])):
-                    yield block()
+                if held and (len(held) >= rows_of(held[0][3]) or held[0][3] != r[3]):
+                    yield tile()
                 held.append(r)
         if held:
-            yield block()
+            yield tile()
 
-    return in_arrow(numbered, pack, "tile long, d long, n long, low double, high double, ids binary, weights binary, vectors binary")
+    return in_arrow(numbered, pack, "tile long, d long, n long, low array<double>, high array<double>, ids binary, weights binary, vectors binary")
 
 
 def star(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -126,23 +168,30 @@ def star(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (rows of a, rows of b) by chunks of a. same: a is b, each pair once and none of a row with itself."""
     ua, ub = _unit(a), _unit(b)
-    pa_, pb = ua @ axes, ub @ axes
+    pa_, pb = turned(ua, axes), turned(ub, axes)
     d = pa_.shape[1]
     stages = [s for s in STAGES if s < d]
     rest = lambda p, s: np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", p[:, :s], p[:, :s])))
     joined = [(np.column_stack([pa_[:, :s], rest(pa_, s)]), np.column_stack([pb[:, :s], rest(pb, s)])) for s in stages]
+    chunks = [slice(i, min(i + CHUNK, len(b))) for i in range(0, len(b), CHUNK)]
+    low, high = (np.array(x) for x in zip(*(box_of(pb[c]) for c in chunks), strict=True))
     for lo in range(0, len(a), CHUNK):
         rows = slice(lo, lo + CHUNK)
-        first = lo if same else 0
+        meets = box_bound(*box_of(pa_[rows]), low, high) >= threshold - SLACK
+        if same:
+            meets[: lo // CHUNK] = False
+        others = np.concatenate([np.zeros(0, np.int64), *(np.arange(c.start, c.stop) for c, m in zip(chunks, meets, strict=True) if m)])
+        if not len(others):
+            continue
         if joined:
             x, y = joined[0]
-            i, j = np.nonzero(x[rows] @ y[first:].T >= threshold - SLACK)
+            i, j = np.nonzero(x[rows] @ y[others].T >= threshold - SLACK)
         else:
-            i, j = (k.ravel() for k in np.indices((len(pa_[rows]), len(b) - first)))
-        i, j = i + lo, j + first
+            i, j = (k.ravel() for k in np.indices((len(pa_[rows]), len(others))))
+        i, j = i + lo, others[j]
         if same:
             i, j = i[i < j], j[i < j]
         for x, y in joined[1:]:
@@ -171,9 +220,11 @@ def links(blocks: DataFrame, axes: dict[int, np.ndarray], threshold: float = THR
     reach = float(np.sqrt(2 - 2 * threshold))  # how far apart two coordinates of linked vectors of length 1 can be
     ends = blocks.select("tile", "d", "low", "high")
     cell = lambda c: F.floor(c / reach).cast("long")
-    cells = ends.select("*", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    around = ends.select(F.col("tile").alias("other"), "d", F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell(F.col("low")) - 1, cell(F.col("high")) + 1)).alias("cell"))
-    pairs = cells.join(around, ["d", "cell"]).filter(f"tile <= other and low_b - high <= {reach + SLACK} and low - high_b <= {reach + SLACK}").select("tile", "other").distinct()
+    first, last = F.col("low")[0], F.col("high")[0]
+    cells = ends.select("*", F.explode(F.sequence(cell(first), cell(last))).alias("cell"))
+    around = ends.select(F.col("tile").alias("other"), "d", F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell(first) - 1, cell(last) + 1)).alias("cell"))
+    bound = sum((F.greatest(*[F.col(x)[k] * F.col(y)[k] for x in ("low", "high") for y in ("low_b", "high_b")]) for k in range(BOX + 1)), F.lit(0.0))
+    pairs = cells.join(around, ["d", "cell"]).filter("tile <= other").filter(bound >= threshold - SLACK).select("tile", "other").distinct()
     sides = pairs.select("tile", F.struct("tile", "other").alias("pair")).unionByName(pairs.filter("tile <> other").select(F.col("other").alias("tile"), F.struct("tile", "other").alias("pair")))
     met = blocks.select("tile", "d", "ids", "weights", "vectors").join(sides, "tile").select("pair.tile", "pair.other", F.col("tile").alias("own"), "d", "ids", "weights", "vectors")
 
@@ -184,7 +235,7 @@ def links(blocks: DataFrame, axes: dict[int, np.ndarray], threshold: float = THR
         same, n = len(read) == 1, len(ids_a)
         ids, weights = (ids_a, w_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([w_a, w_b]))
         count, si, sj = np.zeros(len(ids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, j in compare(a, b, axes[sides_[0]["d"]], threshold, same):
+        for i, j in compare(a, b, axes.get(sides_[0]["d"]), threshold, same):
             j = j if same else j + n
             count += np.bincount(i, weights[j], len(ids)).astype(np.int64) + np.bincount(j, weights[i], len(ids)).astype(np.int64)
             label = star(i, j, len(ids))  # a chunk's links become a star before the next chunk
@@ -209,7 +260,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     reps = cut(valid.groupBy("embedding").agg(F.min("row_id").alias("id"), F.count("*").alias("weight")), "distinct-vectors")
     axes = principal_axes(reps)
     n = reps.count()
-    blocks = cut(tiles(reps, axes, max(1, -(-n // TILE))), "tiles")
+    blocks = cut(tiles(reps, axes, n), "tiles")
     found = cut(links(blocks, axes, threshold), "tile-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     groups = components(found, "id", "root")

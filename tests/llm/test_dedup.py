@@ -129,9 +129,11 @@ def brute_vectors(rows, least=0.9):
     return sorted(str((ids[i], count[i], least_id(i))) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize(("d", "tile"), [(3, 4096), (40, 16), (20, 7)])
-def test_vectors(spark, monkeypatch, d, tile):
-    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+@pytest.mark.parametrize(("d", "tile", "longest"), [(3, 4096, 1024), (40, 16, 1024), (20, 7, 19)])
+def test_vectors(spark, monkeypatch, d, tile, longest):
+    """Large and small tiles and chunks, and a dimension that no axes are worked out for."""
+    for name, value in (("TILE_BYTES", tile * 8 * d), ("LEAST_ROWS", 5), ("CHUNK", 6 if tile < 100 else 512), ("LONGEST", longest)):
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(d)
     base = rng.normal(size=(60, d)).astype(np.float32)
     near = base[:25] + rng.normal(size=(25, d)).astype(np.float32) * 0.3
@@ -143,6 +145,25 @@ def test_vectors(spark, monkeypatch, d, tile):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_boxes_rule_out_what_is_far(spark, monkeypatch):
+    """The bound of two boxes is over every cosine between them, and for vectors in clusters it spares most pairs of chunks."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for d in (2, 8, 30):
+        for _ in range(30):
+            a, b = (unit(rng.normal(size=(9, d)) * 0.2 + rng.normal(size=d)) for _ in range(2))
+            assert embedding_dedup.box_bound(*embedding_dedup.box_of(a), *embedding_dedup.box_of(b)) >= (a @ b.T).max() - 1e-12
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 20)
+    centres = unit(rng.normal(size=(12, 6)))
+    x = np.concatenate([unit(c + rng.normal(size=(20, 6)) * 0.05) for c in centres])
+    met = []
+    bound = embedding_dedup.box_bound
+    monkeypatch.setattr(embedding_dedup, "box_bound", lambda *a: met.append(bound(*a)) or met[-1])
+    got = {(i, j) for p, q in embedding_dedup.compare(x, x, None, 0.9, True) for i, j in zip(p.tolist(), q.tolist())}
+    assert got == {(i, j) for i in range(240) for j in range(i + 1, 240) if x[i] @ x[j] >= 0.9}
+    assert np.mean(np.concatenate(met) < 0.9) > 0.5
+
+
 def test_vectors_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
