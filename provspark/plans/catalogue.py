@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -495,14 +496,30 @@ def content_fingerprint(v: Lenses) -> DataFrame:
     return v.messages.select("seq", text.vectorised(text.fingerprint, "string")("subject").alias("fingerprint"))
 
 
-@query()
+_RE = lambda p: "'" + p.replace("'", "''") + "'"
+_TRIMMED = lambda t: f"regexp_replace({t}, '[ .,;:]+$', '')"
+_SAID = "trim(regexp_replace(subject, '\\s+', ' ', 'g'))"
+_CLOSED = lambda t: (
+    f"list_filter(list_transform(range(1, len(string_split({t}, '(')) + 1), lambda k: array_to_string(string_split({t}, '(')[1:k], '(')), "
+    "lambda b: length(b) - length(replace(b, '(', '')) <= length(b) - length(replace(b, ')', '')))[-1]"
+)
+_CLAUSE = lambda t: _TRIMMED(f"regexp_replace({_TRIMMED(_CLOSED(t))}, {_RE(text.LOOSE_END)}, '')")
+
+
+@query(f"select seq, {_CLAUSE(_SAID)} as clause from messages", "messages")
 def clean_clause(v: Lenses) -> DataFrame:
-    return v.messages.select("seq", text.vectorised(text.clean_clause, "string")("subject").alias("clause"))
+    return v.messages.select("seq", text.clean_clause_column(F.col("subject")).alias("clause"))
 
 
-@query()
+_HEADLESS = f"regexp_replace({_TRIMMED(_SAID)}, {_RE(text.SECTION_HEAD.replace('(?=[^:]{1,40}:' + chr(92) + 's+' + chr(92) + 'S)', ''))}, '')"
+_LEADS, _DECIDING = ("|".join(re.escape(w) for w in sorted(words)) for words in (text.FRAGMENT_LEADS, text.VERBS))
+
+
+@query(f"""c as (select seq, {_CLAUSE(_HEADLESS)} as said, regexp_replace({_TRIMMED(_SAID)}, '^[^:]{{1,40}}:\\s+', '') as body from messages)
+select seq, case when regexp_matches(said, '^\\p{{Ll}}[^\\p{{Lu}}./_`\\s-]*(\\s|$)') then upper(substr(said, 1, 1)) || substr(said, 2) else said end as content,
+  not regexp_matches(body, '(?i)^,*({_LEADS}),*\\s') and (regexp_matches(body, '^\\S+\\s+\\S+\\s+\\S') or regexp_matches(body, '(?i)^,*({_DECIDING}),*\\s+\\S') or (regexp_matches(body, '^\\S+\\s+\\S') and regexp_matches(body, '[A-Z0-9_`\\[\\]()-]'))) as usable from c""", "messages")
 def polish_content(v: Lenses) -> DataFrame:
-    return v.messages.select("seq", text.vectorised(text.polish, "string")("subject").alias("content"), text.vectorised(text.is_usable, "boolean")("subject").alias("usable"))
+    return v.messages.select("seq", text.polish_column(F.col("subject")).alias("content"), text.usable_column(F.col("subject")).alias("usable"))
 
 
 def _with_message(v: Lenses) -> DataFrame:
@@ -677,7 +694,7 @@ def decision_json_rows(v: Lenses) -> DataFrame:
     return reports.decision_json(v.decisions.withColumns({"alternatives": none, "constraints": none}))
 
 
-@query()
+@query(_SCD, "symbol_events")
 def incremental_equals_full(v: Lenses) -> DataFrame:
     from provspark.streaming.incremental import fold_in_batches
 

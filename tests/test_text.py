@@ -77,9 +77,9 @@ def test_adr():
 
 def test_changelog():
     said = "Version 3.0\n-----------\n\n-   Use ``redirect`` because it\n    is simpler.\n-   short\n\n## 2.0\n* drop y to avoid z\n"
-    sections = records.changelog_sections(said)
-    assert [t for t, _ in sections] == ["Version 3.0", "2.0"]
-    assert records.bullets(sections[0][1]) == ["Use ``redirect`` because it is simpler."]
+    assert records.changelog_items(said) == [("Version 3.0", "Use ``redirect`` because it is simpler."), ("2.0", "drop y to avoid z")]
+    assert records.changelog_items("* use a pool now\nloose\n  and rest\n\n  not this\n") == [("Changelog", "use a pool now and rest")]
+    assert records.changelog_items("* above the heading\n\n# 1.0\n+ kept because of it\n") == [("1.0", "kept because of it")]
     assert [r["tier"] for r in records.of_changelog(said, "CHANGES.rst")] == ["decision", "decision"]
 
 
@@ -91,3 +91,25 @@ def test_refs(spark):
     assert r["p"] == ["x/y.go"]
     assert "redirect" in r["n"] and "app.route" in r["n"]
     assert r["s"] == "abcdef1"
+
+
+def test_columns_say_what_the_functions_say(spark):
+    """Clauses of random scraps, by column expressions and by plain functions, and brackets by a reading of their own."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    scraps = ["(", ")", "use", "Use", "pool", "e.g.", "and", "to", ",", ";", "Fixed:", "Bug Fixes:", "Now,", "also", "v1_2", "x.py", "é", "the", "(a", "b)", "  ", "Breaking  changes :", "an", "drop", "."]
+    rows = [(i, " ".join(rng.choice(scraps) for _ in range(rng.randrange(9)))) for i in range(600)] + [(600, None), (601, ""), (602, "use (pools (and")]
+    df = spark.createDataFrame(rows, "i long, said string").select("i", text.clean_clause_column(F.col("said")).alias("c"), text.polish_column(F.col("said")).alias("p"), text.usable_column(F.col("said")).alias("u"))
+    got = {r["i"]: (r["c"], r["p"], r["u"]) for r in df.collect()}
+    for i, said in rows:
+        assert got[i] == (text.clean_clause(said), text.polish(said), text.is_usable(said)), said
+        left = " ".join((said or "").split())
+        while left.count("(") > left.count(")"):
+            left = left[: left.rfind("(")]
+        words = left.rstrip(" .,;:").split()
+        while words and words[-1].lower().strip(".,;:") in text.TAILS:
+            words = words[:-1]
+        assert got[i][0] == " ".join(words).rstrip(" .,;:"), said
