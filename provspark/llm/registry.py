@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provspark.llm import bpe, chat, embedding_dedup, licenses, minhash_dedup, mixing, spotsigs, suffix_dedup, toxicity, warc
+from provspark.llm import bpe, chat, embedding_dedup, licenses, minhash_dedup, mixing, sharding, spotsigs, suffix_dedup, toxicity, warc, whitening
 from provspark.llm.common import documents
 
 
@@ -61,8 +61,16 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), k=2)
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op4_suffix_dedup, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer, op9_embedding_dedup, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_curriculum_mix, op3_chat_format, op4_suffix_dedup, op5_license_scan, op6_spotsigs, op7_toxicity, op8_bpe_transducer, op9_embedding_dedup, op10_minhash_dedup, op11_external_shuffle, op12_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,5 +13,5 @@ def test_matches_sql(spark, oracle, name):
     assert plain(ours) == plain(theirs)
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 13))
