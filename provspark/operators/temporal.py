@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from provspark.functions import paths
 
+VERSION = "file_path string, name string, seq long, valid_from long, valid_to long, sha string, line_start int, line_end int"
 CHANGE_RANK = {"added": 0, "changed": 1, "superseded": 2, "removed": 3}
 
 
@@ -113,6 +114,22 @@ def tombstones(snapshots: DataFrame, symbols: DataFrame) -> DataFrame:
     return left.join(names, ["file_path", "name", "seq"], "left_anti")
 
 
+def followed(live: tuple | None, event: tuple) -> tuple[tuple | None, tuple | None]:
+    """What an event (seq, ts, sha, line_start, line_end, text_hash, gone) does to a symbol: (the version that it ends, the one open after it), none where there is none."""
+    seq, ts, sha, start, end, text, gone = event
+    if gone:
+        return (version(live, ts) if live else None), None
+    if live and (live[1] > ts or (live[3:5] == (start, end) and (live[2] == sha or live[5] == text))):
+        return None, live
+    return (version(live, ts) if live else None), (seq, ts, sha, start, end, text)
+
+
+def version(live: tuple, until: int | None) -> tuple:
+    """(seq, valid_from, valid_to, sha, line_start, line_end)."""
+    seq, ts, sha, start, end, _ = live
+    return seq, ts, until, sha, start, end
+
+
 def fold_versions(events: DataFrame) -> DataFrame:
     """(file_path, name, seq, valid_from, valid_to, sha, line_start, line_end): the versions that a stream of symbol events opens, and when each closes.
 
@@ -121,7 +138,7 @@ def fold_versions(events: DataFrame) -> DataFrame:
     with very many events takes no memory of its own.
     """
     fields = ["file_path", "name", "seq", "ts", "sha", "line_start", "line_end", "text_hash", "gone"]
-    schema = "file_path string, name string, seq long, valid_from long, valid_to long, sha string, line_start int, line_end int"
+    schema = VERSION
     kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -134,29 +151,18 @@ def fold_versions(events: DataFrame) -> DataFrame:
             out.clear()
             return batch
 
-        for _, events_ in groupby(rows, key=lambda r: r[:2]):
+        for symbol, events_ in groupby(rows, key=lambda r: r[:2]):
             live = None
-            for path, name, seq, ts, sha, start, end, text, gone in events_:
-                if gone:
-                    if live:
-                        out.append(closed(live, ts))
-                        live = None
-                    continue
-                if live and (live[3] > ts or (live[5:7] == (start, end) and (live[4] == sha or live[7] == text))):
-                    continue
-                if live:
-                    out.append(closed(live, ts))
-                live = (path, name, seq, ts, sha, start, end, text)
+            for event in events_:
+                ended, live = followed(live, event[2:])
+                if ended:
+                    out.append((*symbol, *ended))
             if live:
-                out.append(closed(live, None))
+                out.append((*symbol, *version(live, None)))
             if len(out) > 5000:
                 yield flush()
         yield flush()
 
-    def closed(v: tuple, at: int | None) -> tuple:
-        path, name, seq, ts, sha, start, end, _ = v
-        return path, name, seq, ts, at, sha, start, end
-
     ordinal = "ordinal" if "ordinal" in events.columns else "seq"
     sorted_ = events.repartition("file_path", "name").sortWithinPartitions("file_path", "name", "seq", ordinal)
     return sorted_.select(*fields).mapInArrow(work, schema)

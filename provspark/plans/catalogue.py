@@ -397,21 +397,21 @@ def patch_changed_lines(v: Lenses) -> DataFrame:
 
 # ---- prose
 
-_T = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+ONE_LINE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
 def _cut_sql(t: str, at: str) -> str:
     return f"regexp_replace(trim(substr({t}, 1, {at} - 1)), '[,;:]+$', '')"
 
 
-def _parts_sql() -> str:
+def parts_sql() -> str:
     """m -> p (seq, t, content, reason, alternative) by the rules of the text functions."""
     alt = " ".join(f"when instr(lower(t0), '{m}') > 1 and whole then {_cut_sql('t0', f'instr(lower(t0), {chr(39)}{m}{chr(39)})')}" for m in text.ALTERNATIVE_MARKERS)
     other = " ".join(f"when instr(lower(t0), '{m}') > 1 and whole then regexp_replace(trim(substr(t0, instr(lower(t0), '{m}') + {len(m)})), '[.]+$', '')" for m in text.ALTERNATIVE_MARKERS)
     at = [f"instr(lower(t), '{m}')" for m in text.REASON_MARKERS]
     content = " ".join(f"when {a} > 1 and {_cut_sql('t', a)} <> '' then substr({_cut_sql('t', a)}, 1, 220)" for a in at)
     reason = " ".join(f"when {a} > 1 and {_cut_sql('t', a)} <> '' then substr(trim(substr(t, {a})), 1, 500)" for a in at)
-    return f"""q as (select *, {_T.format("s")} as t0, regexp_matches({_T.format("s")}, '[.)`!?]$') as whole from m),
+    return f"""q as (select *, {ONE_LINE.format("s")} as t0, regexp_matches({ONE_LINE.format("s")}, '[.)`!?]$') as whole from m),
 q2 as (select *, case {alt} else t0 end as t, case {other} else '' end as other from q),
 p as (select seq, s, case {content} else substr(t, 1, 220) end as content, case {reason} else '' end as reason, case when other = '' then [] else [substr(other, 1, 180)] end as alternatives from q2)"""
 
@@ -431,18 +431,18 @@ def looks_like_decision(v: Lenses) -> DataFrame:
 _M = "m as (select seq, subject as s from messages)"
 
 
-@query(f"{_M}, {_parts_sql()} select seq, content, reason from p", "messages")
+@query(f"{_M}, {parts_sql()} select seq, content, reason from p", "messages")
 def split_reason(v: Lenses) -> DataFrame:
     p = text.decision_parts(F.col("subject"))
     return v.messages.select("seq", p["content"].alias("content"), p["reason"].alias("reason"))
 
 
-@query(f"{_M}, {_parts_sql()} select seq, alternatives from p", "messages")
+@query(f"{_M}, {parts_sql()} select seq, alternatives from p", "messages")
 def split_alternatives(v: Lenses) -> DataFrame:
     return v.messages.select("seq", text.decision_parts(F.col("subject"))["alternatives"].alias("alternatives"))
 
 
-@query(f"{_M}, {_parts_sql()} select seq, case when trim(reason) <> '' or len(alternatives) > 0 then 'decision' else 'event' end as tier from p", "messages")
+@query(f"{_M}, {parts_sql()} select seq, case when trim(reason) <> '' or len(alternatives) > 0 then 'decision' else 'event' end as tier from p", "messages")
 def tier(v: Lenses) -> DataFrame:
     return v.messages.select("seq", text.tier(text.decision_parts(F.col("subject"))).alias("tier"))
 
@@ -474,7 +474,7 @@ def backtick_refs(v: Lenses) -> DataFrame:
 _SUBJECT = f"case when regexp_matches(subject, '{text.CONVENTIONAL}') then trim(regexp_extract(subject, '{text.CONVENTIONAL}', 3)) else trim(subject) end"
 
 
-@query(f"""m as (select seq, {_SUBJECT} as s, {_DEP.format("subject")} as dep from messages), {_parts_sql()},
+@query(f"""m as (select seq, {_SUBJECT} as s, {_DEP.format("subject")} as dep from messages), {parts_sql()},
 t as (select p.*, m.dep, trim(p.reason) <> '' or len(p.alternatives) > 0 as decided from p join m using (seq))
 select seq, case when dep then 'dependency' else 'design' end as category, case when decided then 'decision' else 'event' end as tier, case when not decided then 0.5::double when dep then 0.65::double else 0.6::double end as confidence from t""", "messages")
 def commit_subject_records(v: Lenses) -> DataFrame:
@@ -484,7 +484,7 @@ def commit_subject_records(v: Lenses) -> DataFrame:
 
 
 @query(f"""b as (select seq, body, list_filter(list_transform(regexp_extract_all(body, '(?m)^\\s*[-*+]\\s+(.+)$', 1), lambda x: trim(x)), lambda x: x <> '') as bullets from messages),
-m as (select seq, unnest(case when len(bullets) > 0 then bullets else list_filter(string_split_regex(regexp_replace(replace(body, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: x <> '') end) as s from b), {_parts_sql()}
+m as (select seq, unnest(case when len(bullets) > 0 then bullets else list_filter(string_split_regex(regexp_replace(replace(body, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: x <> '') end) as s from b), {parts_sql()}
 select seq, s as part, case when trim(reason) <> '' or len(alternatives) > 0 then 'decision' else 'event' end as tier from p where {" or ".join(f"contains(lower(s), '{k}')" for k in text.KEYWORDS)}""", "messages")
 def commit_body_records(v: Lenses) -> DataFrame:
     parts = v.messages.select("seq", F.explode(text.commit_parts(F.col("body"))).alias("part")).filter(text.looks_like_decision(F.col("part")))

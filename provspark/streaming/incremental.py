@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window
 
-from provspark.operators.temporal import fold_versions
+from provspark.operators import temporal
+from provspark.operators.temporal import VERSION, fold_versions, followed, version
 
 EVENT = "file_path string, name string, seq long, ts long, sha string, line_start int, line_end int, text_hash long, gone boolean"
+FIELDS = ["seq", "ts", "sha", "line_start", "line_end", "text_hash", "gone"]
+#: Settings that a stream with keyed state needs: RocksDB, and only what changed written at each batch.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def pending(commits: DataFrame, head: str | None) -> DataFrame:
@@ -47,17 +59,49 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def stream_versions(spark: SparkSession, source: str, target: str, checkpoint: str):
-    """A stream over Parquet files of events in `source` that appends versions to `target`: closed ones, and open ones as they stand after each batch (read with `latest`).
+class Versions(StatefulProcessor):
+    """The open version of each symbol as keyed state; a batch's events move it on in the order of seq."""
 
-    The events of open versions are kept beside the target, one folder a batch, so a batch that is run again overwrites its own output and nothing else.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getValueState("live", "seq long, ts long, sha string, line_start int, line_end int, text_hash long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        # Plain tuples: pandas would turn whole numbers with nulls among them into floats.
+        events = sorted((tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for f in rows for r in f[FIELDS].itertuples(index=False, name=None)), key=lambda r: r[0])
+        before = live = self.live.get() if self.live.exists() else None
+        out = []
+        for event in events:
+            ended, live = followed(live, event)
+            if ended:
+                out.append(ended)
+        if live and live != before:
+            out.append(version(live, None))
+            self.live.update(live)
+        elif before and not live:
+            self.live.clear()
+        yield pd.DataFrame([(*key, *v, "open" if v[2] is None else "closed") for v in out], columns=[*(c.split()[0] for c in VERSION.split(", ")), "state"]).astype({"valid_to": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def version_changes(events: DataFrame) -> DataFrame:
+    """Of a stream of symbol events: each version as it closes (`state` closed), and as it is left open by the batch that opened it (`state` open).
+
+    What is kept between batches is the open version of each symbol, in Spark's state store, and what a batch writes there and to the output is in proportion to the
+    batch. Events of a symbol are taken in the order of seq within a batch; one that comes in a later batch than its successors is passed over if it is older than the
+    open version, as in fold_versions. A task holds the events that one symbol has in one batch, so bound a first run over a long history by maxFilesPerTrigger.
     """
+    # The worker that Spark starts beside the driver doesn't get the files added to the session, so the processor goes there as code and not as the name of a module.
+    for module in (temporal, sys.modules[__name__]):
+        cloudpickle.register_pickle_by_value(module)
+    return events.groupBy("file_path", "name").transformWithStateInPandas(Versions(), f"{VERSION}, state string", "Append", "None")
+
 
-    def merge(batch: DataFrame, n: int) -> None:
-        held = f"{target}/open/batch={n}"
-        before = batch if n == 0 else spark.read.schema(EVENT).parquet(f"{target}/open/batch={n - 1}").unionByName(batch)
-        versions = fold_versions(before)
-        versions.write.mode("overwrite").parquet(f"{target}/versions/batch={n}")
-        open_as_events(versions, before).write.mode("overwrite").parquet(held)
+def stream_versions(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Starts a stream that appends version_changes of what is new to Parquet files at target, and ends once it has taken that; read them with `latest`.
 
-    return spark.readStream.schema(EVENT).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A run that fails is made good by the next one over the same checkpoint: the sink lists the files of each batch once.
+    """
+    changes = version_changes(events).observe("written", F.count("*").alias("n"))
+    return changes.writeStream.format("parquet").partitionBy("state").option("checkpointLocation", checkpoint).option("path", target).outputMode("append").trigger(availableNow=True).start()

@@ -42,17 +42,6 @@ def test_batches_equal_whole(spark):
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
 
 
-def test_stream_equals_whole(spark, tmp_path):
-    e = events(spark, [(i, 1, 5 + i % 3, i % 2, i % 7 == 0) for i in range(40)])
-    src, dst = str(tmp_path / "in"), str(tmp_path / "out")
-    for k, part in enumerate((e.filter("seq < 15"), e.filter("seq >= 15"))):
-        part.coalesce(1).write.mode("append").parquet(src)
-        incremental.stream_versions(spark, src, dst, str(tmp_path / "ckpt")).awaitTermination()
-    cols = ["file_path", "name", "seq", "valid_from", "valid_to", "line_start", "line_end"]
-    got = incremental.latest(spark.read.parquet(dst + "/versions")).select(*cols)
-    assert sorted(map(str, got.collect())) == sorted(map(str, temporal.fold_versions(e).select(*cols).collect()))
-
-
 def test_merge_rules(spark):
     e = spark.createDataFrame([("a", "b", "uses", "f", 42, 0), ("a", "b", "uses", "f", 99, 1), ("a", "b", "contains", "f", 1, 2)], "from_uid string, to_uid string, kind string, file_path string, line int, seq long")
     assert sorted(r["line"] for r in store.merge_edges(e).collect()) == [1, 42]
