@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provspark.functions import paths
+from provspark.operators import sweep
 
 #: Rank -> the level that is reported.
 REPORTED = ("line", "line", "line", "file", "commit", "dir")
@@ -92,39 +93,58 @@ def for_file_links(decisions: DataFrame, links: DataFrame, file_path: str, limit
 def cascade(probes: DataFrame, nodes: DataFrame, decisions: DataFrame, links: DataFrame, limits: tuple[int, ...] = (20, 20, 20, 20, 10, 5)) -> DataFrame:
     """(probe, level, rank, uid): for each of probes (probe, file_path, line[, sha]) the decisions of the first level that has any, newest first.
 
-    Levels: linked lines of the innermost symbol, the linked line, the line itself, the file, the commit (where a sha is given), the folder. Each level keeps its newest
-    few, so what a probe gathers is bounded.
+    Levels: linked lines of the innermost symbol (each decision once), the linked line (a row for each link), the line itself, the file, the commit (where a sha is given),
+    the folder. An answer hangs on file and line alone, so each asked line is answered once, the first four levels in one pass over its file (`sweep`); whatever
+    a line, file, commit or folder holds is cut to its newest few before it meets anything.
     """
-    # No action may be shared by hand here: each level is one equi-join, and the plan reads each table once per level.
     d = decisions.select("uid", "timestamp", "file_path", "line", "source_ref")
-    # No answer takes more than the newest few of a line, so a hot line gives no more than these.
-    linked = links.select(F.col("decision_uid").alias("uid"), "file_path", "line").filter("line is not null").distinct().join(d.select("uid", "timestamp"), "uid")
-    newest_first = Window.partitionBy("file_path", "line").orderBy(F.col("timestamp").desc(), "uid")
-    stamped = linked.withColumn("_n", F.row_number().over(newest_first)).filter(F.col("_n") <= max(limits[:2])).drop("_n")
-    inside = innermost(probes, nodes).select("probe", "file_path", "line_start", "line_end")
-    found = [
-        about_lines(stamped, inside, "file_path").select("probe", F.lit(0).alias("k"), "uid", "timestamp").distinct(),
-        probes.select("probe", "file_path", "line").join(stamped, ["file_path", "line"]).select("probe", F.lit(1).alias("k"), "uid", "timestamp"),
-        probes.select("probe", "file_path", "line").join(d.drop("source_ref"), ["file_path", "line"]).select("probe", F.lit(2).alias("k"), "uid", "timestamp"),
-        _top(probes.select("probe", "file_path"), d, "file_path", limits[3]).select("probe", F.lit(3).alias("k"), "uid", "timestamp"),
-    ]
+    stood = links.filter("line is not null").select(F.col("decision_uid").alias("uid"), "file_path", "line").join(d.select("uid", "timestamp"), "uid")
+    linked = _newest_of(stood.groupBy("file_path", "line", "uid", "timestamp").agg(F.count("*").alias("n")), ["file_path", "line"], max(limits[:2]))
+    made = _newest_of(d, ["file_path", "line"], max(limits[2:4]))
+    live = nodes.filter(paths.is_live()).select("file_path", F.col("line_start").alias("line"), F.col("line_end").alias("stop"), F.col("valid_from").alias("timestamp"), "uid").filter("stop >= line")
+    rows = [
+        _newest_of(live, ["file_path", "line", "stop"], 1).withColumn("kind", F.lit(sweep.SPAN)), linked.withColumn("kind", F.lit(sweep.LINK)), made.withColumn("kind", F.lit(sweep.DECISION)),
+        probes.select("file_path", "line").distinct().withColumn("kind", F.lit(sweep.ASK)),
+    ]
+    kind = {"stop": "int", "timestamp": d.schema["timestamp"].dataType, "uid": "string", "n": "long"}
+    wide = [r.select("file_path", F.col("line").cast("int").alias("line"), "kind", *[(F.col(c) if c in r.columns else F.lit(None).cast(kind[c])).alias(c) for c in kind]) for r in rows]
+    every = wide[0]
+    for w in wide[1:]:
+        every = every.unionByName(w)
+    found = sweep.answers(every.filter("file_path is not null"), limits)
+
+    at = F.coalesce("line", F.lit(-1))
+    folder = F.when(F.col("file_path").contains("/"), F.regexp_replace("file_path", r"/[^/]*$", ""))
+    asked = probes.withColumns({"_line": at, "_folder": folder}).join(found.select("file_path", at.alias("_line"), "k", "uids"), ["file_path", "_line"])
+    # Keys of what is answered already are null and meet nothing.
+    unanswered = lambda c: F.when(F.col("k").isNull(), c)
+    under = d.select("uid", "timestamp", F.explode(_folders(F.col("file_path"))).alias("key"))
+    asked = asked.withColumn("_key", unanswered(F.col("_folder"))).join(_few(under, limits[5], "_key", "_in"), "_key", "left").drop("_key")
+    commit = F.array()
     if "sha" in probes.columns:
-        token = F.explode(F.array_distinct(F.array("sha", F.substring("sha", 1, 10))))
-        asked = probes.filter("coalesce(sha, '') <> ''").select("probe", token.alias("token"))
         words = d.select("uid", "timestamp", F.explode(F.split("source_ref", r"[^0-9A-Za-z]+")).alias("word"))
-        full = words.select("uid", "timestamp", F.explode(F.array_distinct(F.array("word", F.substring("word", 1, 10)))).alias("token"))
-        found.append(asked.join(full, "token").select("probe", F.lit(4).alias("k"), "uid", "timestamp").distinct())
-    folder = lambda c: F.when(c.contains("/"), F.regexp_replace(c, r"/[^/]*$", ""))
-    under = d.select("uid", "timestamp", F.explode(_folders(F.col("file_path"))).alias("folder"))
-    found.append(_top(probes.select("probe", folder(F.col("file_path")).alias("folder")), under, "folder", limits[5]).select("probe", F.lit(5).alias("k"), "uid", "timestamp"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    w = Window.partitionBy("probe", "k").orderBy(F.col("timestamp").desc(), "uid")
-    most = F.element_at(F.array(*map(F.lit, limits)), F.col("k") + 1)
-    kept = every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    first = kept.withColumn("best", F.min("k").over(Window.partitionBy("probe"))).filter("k = best")
-    return first.select("probe", F.element_at(F.array(*map(F.lit, REPORTED)), F.col("k") + 1).alias("level"), "rank", "uid")
+        said = words.select("uid", "timestamp", F.explode(F.array_distinct(F.array("word", F.substring("word", 1, 10)))).alias("key")).distinct()
+        for name, token in (("_full", F.col("sha")), ("_short", F.substring("sha", 1, 10))):
+            asked = asked.withColumn("_key", unanswered(F.when(token != "", token))).join(_few(said, limits[4], "_key", name), "_key", "left").drop("_key")
+        none = F.array().cast("array<struct<uid:string,timestamp:" + d.schema["timestamp"].dataType.simpleString() + ">>")
+        both = F.array_distinct(F.concat(F.coalesce("_full", none), F.coalesce("_short", none)))
+        commit = F.transform(F.slice(F.array_sort(both, _newer), 1, limits[4]), lambda x: x["uid"])
+    inside = F.transform(F.coalesce("_in", F.array()), lambda x: x["uid"])
+    answer = asked.withColumn("_uids", F.when(F.col("k").isNotNull(), F.col("uids")).otherwise(F.when(F.size(commit) > 0, commit).otherwise(inside)))
+    k = F.coalesce("k", F.when(F.size(commit) > 0, 4).otherwise(5))
+    return answer.select("probe", F.element_at(F.array(*map(F.lit, REPORTED)), k + 1).alias("level"), F.posexplode("_uids").alias("rank", "uid")).withColumn("rank", F.col("rank") + 1)
+
+
+def _newer(a: Column, b: Column) -> Column:
+    """Below 0 where a (uid, timestamp) comes before b: newest first, without a time last, then by uid."""
+    at = lambda x: F.struct(x["timestamp"].isNotNull(), x["timestamp"])
+    return F.when(at(a) > at(b), -1).when(at(a) < at(b), 1).when(a["uid"] < b["uid"], -1).when(a["uid"] > b["uid"], 1).otherwise(0)
+
+
+def _few(rows: DataFrame, limit: int, key: str, name: str) -> DataFrame:
+    """(key, name): the newest few (uid, timestamp) of each key of rows (key, uid, timestamp), in their order."""
+    held = F.array_sort(F.collect_list(F.struct("uid", "timestamp")), _newer)  # at most `limit` of them
+    return _newest_of(rows, ["key"], limit).groupBy(F.col("key").alias(key)).agg(held.alias(name))
 
 
 def _folders(path: Column) -> Column:
@@ -133,11 +153,10 @@ def _folders(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def _top(probes: DataFrame, rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """Joins each probe to the newest few rows of its key, which are picked first: a folder's thousands of rows never meet its thousands of probes."""
-    w = Window.partitionBy(key).orderBy(F.col("timestamp").desc(), "uid")
-    best = rows.select(key, "uid", "timestamp").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
-    return probes.join(best, key)
+def _newest_of(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The newest few rows of each key, cut in each task before the shuffle: a key's millions never meet."""
+    w = Window.partitionBy(*keys).orderBy(F.col("timestamp").desc(), "uid")
+    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
 
 def governed_fallback(unanswered: DataFrame, decisions: DataFrame, links: DataFrame, limit: int = 2) -> DataFrame:
