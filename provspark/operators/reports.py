@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provspark.functions import paths
-from provspark.operators import temporal
+from provspark.operators import selection, temporal
 
 DECISION_KEYS = ("uid", "content", "reason", "alternatives", "status", "source", "source_ref", "timestamp", "author", "file_path", "line", "constraints", "confidence", "category", "tier")
 NODE_KEYS = ("uid", "kind", "name", "file_path", "line_start", "line_end", "language", "commit_sha")
@@ -65,13 +65,28 @@ def verdicts(probes: DataFrame, answers: DataFrame, fallback: DataFrame) -> Data
 
 
 def percentiles(values: DataFrame, column: str) -> DataFrame:
-    """p50, p95 and p99 by linear interpolation, and the mean."""
-    return values.agg(*[F.percentile(column, q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)], F.avg(column).alias("mean"))
+    """One row: p50, p95 and p99 by linear interpolation, exact, and the mean; nulls where there are no values."""
+    p50, p95, p99 = selection.percentiles(values, column, (0.5, 0.95, 0.99))
+    return values.agg(*[F.lit(p).cast("double").alias(name) for name, p in (("p50", p50), ("p95", p95), ("p99", p99))], F.avg(column).alias("mean"))
 
 
-def sampled(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
-    """The same n rows each time, in an order that the seed shuffles."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+def sampled(links: DataFrame, nodes: DataFrame, n: int = 20, seed: int = 7) -> DataFrame:
+    """(file_path, line, origin): n lines to ask about, half of them lines that have a link and half the middle lines of live symbols, spread over both alike each time.
+
+    A bottom-k sample: each side's lines are ranked by a seeded digest, and its least few are kept; that is one heap of a few rows a task and one merge of those. A line
+    that both sides offer counts as linked; where one side has too few, the other fills up.
+    """
+    linked = links.filter("line is not null").select("file_path", "line").distinct()
+    middle = (F.col("line_start") + F.floor((F.col("line_end") - F.col("line_start")) / 2)).cast("int").alias("line")
+    middles = nodes.filter(paths.is_live() & (F.col("line_end") >= F.col("line_start"))).select("file_path", middle).distinct()
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "file_path", F.col("line").cast("string")))
+    least = lambda rows, k: rows.withColumn("digest", key).orderBy("digest", "file_path", "line").limit(k)
+    first = least(linked, n).withColumn("origin", F.lit("link"))
+    second = least(middles.join(linked, ["file_path", "line"], "left_anti"), n).withColumn("origin", F.lit("symbol"))
+    # At most 2n rows from here on. Ranks within each side first: the half, then what fills up.
+    both = first.unionByName(second).withColumn("rank", F.row_number().over(Window.partitionBy("origin").orderBy("digest", "file_path", "line")))
+    half = F.when(F.col("origin") == "link", n - n // 2).otherwise(n // 2)
+    return both.orderBy(F.col("rank") > half, "rank", "origin").limit(n).select("file_path", "line", "origin")
 
 
 def graph_payload(nodes: DataFrame, edges: DataFrame, decisions: DataFrame, links: DataFrame, at: Column, scope: str | None) -> DataFrame:

@@ -674,9 +674,13 @@ def largest_spans(v: Lenses) -> DataFrame:
     return v.nodes.orderBy((F.col("line_end") - F.col("line_start")).desc(), "uid").limit(3).select(F.concat_ws(" ", "kind", "name").alias("summary"))
 
 
-@query()
+@query("""a as (select distinct file_path, line from links where line is not null),
+b as (select distinct file_path, cast(line_start + (line_end - line_start) // 2 as int) as line from nodes where valid_to is null and line_end >= line_start),
+u as (select *, 'link' as origin from a union all select *, 'symbol' from b where not exists (select 1 from a where a.file_path = b.file_path and a.line = b.line)),
+r as (select *, row_number() over (partition by origin order by md5('7:' || file_path || ':' || line), file_path, line) as rank from u)
+select file_path, line, origin from r where rank <= 20 order by rank > 10, rank, origin limit 20""", "links", "nodes")
 def sampled_nodes(v: Lenses) -> DataFrame:
-    return reports.sampled(v.nodes, "uid", 20).select("uid")
+    return reports.sampled(v.links, v.nodes, 20)
 
 
 @query("""n as (select *, row_number() over (partition by file_path order by line_start, uid) as k from nodes where valid_to is null),
