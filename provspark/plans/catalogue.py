@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from provspark.functions import paths, text
 from provspark.operators import bind, conflicts, graph, lookup, records, reports, store, temporal
+from provspark.plans import modules
 from provspark.plans.lenses import Lenses, with_lenses
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,12 +706,18 @@ def incremental_equals_full(v: Lenses) -> DataFrame:
     return fold_in_batches(v.symbol_events, [3000])
 
 
-@query()
+@query(modules.symbols())
 def parse_sources(v: Lenses) -> DataFrame:
     from provspark.sources.parsers import parse_files
-    from provspark.sources.synthetic import generated
 
-    return parse_files(generated(v.spark, 1500))
+    return parse_files(v.sources).drop("text_hash")
+
+
+@query(modules.calls())
+def parse_calls(v: Lenses) -> DataFrame:
+    from provspark.sources.parsers import calls_of
+
+    return calls_of(v.sources).drop("call")
 
 
 def queries() -> dict[str, Query]:

@@ -1,12 +1,14 @@
 """Views that give the driver's tables the shape of the relations, in SQL that Spark and DuckDB read alike.
 
-nodes and symbol_events come from events, edges from neighbouring nodes of a file, decisions, messages and commits from orders, links and call_sites from lineitem.
+nodes and symbol_events come from events, edges from neighbouring nodes of a file, decisions, messages and commits from orders, links and call_sites from lineitem, source files from part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from provspark.plans import modules
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 #: name -> (views and tables it reads, SQL over them)
@@ -122,6 +124,7 @@ select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-'
   'src/p' || cast(l_orderkey % 40 as string) || '.py' as file_path, cast(1 + l_orderkey % 90 as int) as line
 from lineitem""",
     ),
+    "sources": (("part",), modules.sources()),
     "functions": (
         ("part",),
         """
@@ -165,6 +168,7 @@ class Lenses:
     def __getattr__(self, name: str) -> DataFrame:
         if name in LENSES:
             needs, sql = LENSES[name]
+            sql = sql.replace("{", "{{").replace("}", "}}")
             for n in needs:
                 sql = sql.replace(f"from {n}", "from {" + n + "}")
             return self.spark.sql(sql, **{n: getattr(self, n) for n in needs})

@@ -1,6 +1,6 @@
 """Symbols and calls of source files in seven languages: `ast` for Python (an indentation scan where it doesn't parse), one scanner for the languages with braces.
 
-A scan first blanks comments and strings, so that positions stay, then finds declarations by the patterns of the language, pairs braces for their ends and nests them.
+A scan first blanks what is no code, so that positions stay (`lexer`), then finds declarations by the patterns of the language, pairs braces for their ends and nests them.
 Order is that of appearance; lines count from 1 and include both ends.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provspark.sources import lexer
+
 #: Suffix -> language.
 SUFFIXES = {
     ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".java": "java", ".go": "go", ".rs": "rust",
@@ -100,8 +103,11 @@ def parse_indented(text: str) -> Parsed:
 
 # ---- languages with braces
 
-_BLANKS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_NO_CALL = frozenset("if for while switch return catch function func fn sizeof new typeof await match loop else do try throw delete in of impl struct class enum trait interface defer go select case where unsafe move static_assert decltype alignof using operator".split())
+ANNOTATION = re.compile(r"@(?!interface\b)[A-Za-z_]")
+_NEW = re.compile(r"\bnew\s+\Z")
+MODIFIERS = re.compile(r"\s*(?:(?:public|private|protected|static|final|abstract|strictfp|sealed)\s+)*")
+COMMENTS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_NO_CALL = frozenset("if for while switch return catch function func fn sizeof new typeof await match loop else do try throw delete in of impl struct class enum trait interface defer go select case where unsafe move assert yield static_assert decltype alignof using operator".split())
 _WORD = r"[A-Za-z_$][\w$]*"
 #: language -> [(kind, pattern whose group `name` is the symbol)]; a pattern ends before its body.
 DECLARATIONS: dict[str, list[tuple[str, str]]] = {
@@ -113,7 +119,7 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
     ],
     "java": [
         ("class", rf"\b(?:class|interface)\s+(?P<name>{_WORD})[^{{;]*(?=\{{)"),
-        ("function", rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:[\w$.<>\[\],?]+\s+)?(?P<name>{_WORD})\s*\([^{{;]*\)[^{{;]*(?=[{{;])"),
+        ("function", rf"(?:^|(?<=[{{;}}]))[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:[\w$.<>\[\],?]+\s+)?(?P<name>{_WORD})\s*\([^{{;]*\)[^{{;]*(?=[{{;])"),
     ],
     "go": [
         ("function", rf"^func\s+(?:\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{{]*(?=\{{)"),
@@ -127,7 +133,7 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
     ],
     "cpp": [
         ("class", r"\b(?:class|struct)\s+(?P<name>\w+)\s*(?:final\s*)?(?::[^{;]*)?(?=\{)"),
-        ("function", r"^[ \t]*(?:[\w:<>,*&~ \t]+[\s*&])?(?:\w+::)*(?P<name>~?\w+)\s*\([^(){};]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^{;]*)?(?=[{;])"),
+        ("function", r"(?:^|(?<=[{;}]))[ \t]*(?:(?:public|private|protected)[ \t]*:[ \t]*)?(?:[\w:<>,*&~ \t]+[\s*&])?(?:\w+::)*(?P<name>~?\w+)\s*\([^(){};]*\)\s*(?:const|noexcept|override|final|\s)*(?::[^{;]*)?(?=[{;])"),
     ],
 }
 DECLARATIONS["javascript"] = DECLARATIONS["typescript"]
@@ -135,7 +141,8 @@ DECLARATIONS["javascript"] = DECLARATIONS["typescript"]
 
 def parse_braces(text: str, language: str) -> Parsed:
     text = text.lstrip("﻿")
-    bare = _BLANKS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    bare = lexer.code_of(text, language)
+    comments_gone = COMMENTS.sub(lambda m: m[0] if m[0][0] in "\"'" else re.sub(r"[^\n]", " ", m[0]), text) if language == "java" else ""
     starts = [0, *(m.end() for m in re.finditer("\n", bare))]
     closing, open_ = {}, []
     for m in re.finditer(r"[{}]", bare):
@@ -151,16 +158,29 @@ def parse_braces(text: str, language: str) -> Parsed:
             lo, hi = (mid, hi) if starts[mid] <= at else (lo, mid)
         return lo + 1
 
+    code_before = [m.end() for m in re.finditer(r"[{};]", bare)] if language == "java" else []
+
+    def annotated(begin: int) -> int:
+        """Where a declaration begins if the annotations in front of it, which are blank by now, are its own."""
+        last = code_before[bisect_right(code_before, begin) - 1] if code_before and code_before[0] <= begin else 0
+        mark = None if not MODIFIERS.fullmatch(bare, last, begin) else ANNOTATION.search(comments_gone, last, begin)
+        return mark.start() if mark else begin
+
     found: dict[int, tuple[int, int, str, str, str]] = {}  # place of the name -> extent, kind, name, owner
     for kind, pattern in DECLARATIONS[language]:
         for m in re.finditer(pattern, bare, re.M):
             name = m["name"]
             if name in _NO_CALL or kind == "function" and language == "cpp" and name.isupper() or m.start("name") in found:
                 continue
+            behind = m[0][m.end("name") - m.start() :]
+            if kind == "function" and behind.count("(") != behind.count(")"):
+                continue  # a call that is handed a function
             before = m[0][: m.start("name") - m.start()].split()
             if kind == "function" and language in ("java", "cpp") and (before[:1] and before[0] in _NO_CALL or not before and bare[m.end() : m.end() + 1] == ";"):
                 continue  # a statement, or a call
             begin = m.start() + len(m[0]) - len(m[0].lstrip())
+            if language == "java":
+                begin = annotated(begin)
             end = closing.get(m.end(), m.end()) if bare[m.end() : m.end() + 1] == "{" else m.end()
             found[m.start("name")] = (begin, end, kind, name, (m.groupdict().get("owner") or ""))
     out, stack, spans = Parsed(), [], []
@@ -183,7 +203,7 @@ def parse_braces(text: str, language: str) -> Parsed:
     names = {at for _, _, at, _, _ in spans}
     functions = [(b, e, s) for b, e, _, s, _ in spans if s.kind == "function"]
     for m in re.finditer(rf"({_WORD})\s*(?:::<[^>]*>)?\(", bare):
-        if m.start() in names or m[1] in _NO_CALL:
+        if m.start() in names or m[1] in _NO_CALL or _NEW.search(bare, max(0, m.start() - 20), m.start()):
             continue
         about = [(e - b, s.name) for b, e, s in functions if b <= m.start() <= e]
         if about:
