@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provspark.functions import paths, text
+from provspark.functions import tables as tables_
 from provspark.operators import bind, conflicts, graph, lookup, records, reports, store, temporal
 from provspark.plans import modules
 from provspark.plans.lenses import Lenses, with_lenses
@@ -133,7 +134,16 @@ def symbol_versions_scd2(v: Lenses) -> DataFrame:
     return temporal.fold_versions(v.symbol_events)
 
 
-@query()
+@query("""recursive e as (select * replace (case when seq % 9 = 0 then ts - 500 else ts end as ts), row_number() over (partition by file_path, name order by seq) as n from symbol_events),
+f as (select file_path, name, cast(0 as bigint) as n, cast(null as bigint) as seq, cast(null as bigint) as ts, cast(null as varchar) as sha, cast(null as int) as line_start, cast(null as int) as line_end, cast(null as varchar) as act,
+    false as alive, cast(null as bigint) as live_ts, cast(null as int) as ls, cast(null as int) as le, cast(null as bigint) as lt, cast(null as varchar) as lsha from (select distinct file_path, name from e) s
+  union all select file_path, name, n, seq, ts, sha, line_start, line_end, act, case act when 'open' then true when 'close' then false else alive end, case act when 'open' then ts else live_ts end,
+    case act when 'open' then line_start else ls end, case act when 'open' then line_end else le end, case act when 'open' then text_hash else lt end, case act when 'open' then sha else lsha end from (
+    select e.*, f.alive, f.live_ts, f.ls, f.le, f.lt, f.lsha, case when e.gone then case when f.alive then 'close' end
+      when f.alive and (f.live_ts > e.ts or (f.ls = e.line_start and f.le = e.line_end and (f.lsha = e.sha or f.lt = e.text_hash))) then null else 'open' end as act
+    from f join e on e.file_path = f.file_path and e.name = f.name and e.n = f.n + 1) x),
+o as (select *, lead(ts) over (partition by file_path, name order by n) as valid_to from f where act is not null)
+select file_path, name, seq, ts as valid_from, valid_to, sha, line_start, line_end from o where act = 'open'""", "symbol_events")
 def symbol_versions_out_of_order(v: Lenses) -> DataFrame:
     late = F.when(F.col("seq") % 9 == 0, F.col("ts") - 500).otherwise(F.col("ts"))
     return temporal.fold_versions(v.symbol_events.withColumn("ts", late))
@@ -497,6 +507,15 @@ def content_fingerprint(v: Lenses) -> DataFrame:
     return v.messages.select("seq", text.vectorised(text.fingerprint, "string")("subject").alias("fingerprint"))
 
 
+@query("""select seq, min(seq) over (partition by lower(trim(regexp_replace(subject, '\\s+', ' ', 'g')))) as first_seq, true as well_formed from messages""", "messages")
+def fingerprint_classes(v: Lenses) -> DataFrame:
+    """Which messages share a fingerprint: those that white space and case alone tell apart, and no others."""
+    said = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("  "), F.upper("subject"), F.lit(" \n"))).otherwise(F.replace("subject", F.lit(" "), F.lit(" \t ")))
+    found = v.messages.select("seq", text.vectorised(text.fingerprint, "string")(said).alias("fingerprint"))
+    least = found.groupBy("fingerprint").agg(F.min("seq").alias("first_seq"))
+    return found.join(least, "fingerprint").select("seq", "first_seq", F.col("fingerprint").rlike("^[0-9a-f]{8}$").alias("well_formed"))
+
+
 _RE = lambda p: "'" + p.replace("'", "''") + "'"
 _TRIMMED = lambda t: f"regexp_replace({t}, '[ .,;:]+$', '')"
 _SAID = "trim(regexp_replace(subject, '\\s+', ' ', 'g'))"
@@ -532,7 +551,10 @@ def commit_records(v: Lenses) -> DataFrame:
     return records.from_messages(_with_message(v))
 
 
-@query()
+@query("""m as (select seq, subject, trim(body, chr(10) || ' ') as context, 'docs/adr/' || seq || '.md' as file_path from messages)
+select seq, 0 as nth, file_path || '::decision::adr@1' as uid, substr(trim(regexp_replace(string_split_regex(regexp_replace(subject, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')[1], '^\\s*[-*+]\\s+', '')), 1, 220) as content,
+  substr(case when context <> '' then context else subject end, 1, 500) as reason, ['one.', 'two.'] as alternatives, case when seq % 3 = 0 then 'superseded' else 'accepted' end as status, 'adr' as source, 'ADR ' || seq as source_ref, file_path,
+  0.8::double as confidence, 'design' as category, 'decision' as tier, cast([] as varchar[]) as constraints from m""", "messages")
 def adr_sections(v: Lenses) -> DataFrame:
     said = F.concat(F.lit("# ADR 001\n\n## Status\n"), F.when(F.col("seq") % 3 == 0, "Superseded by 002").otherwise("Accepted"), F.lit("\n\n## Decision\n"), "subject", F.lit("\n\n## Context\n"), "body", F.lit("\n\n## Options\n- one. two.\n"))
     return records.from_documents(v.messages.select("seq", F.concat(F.lit("docs/adr/"), "seq", F.lit(".md")).alias("file_path"), said.alias("text")), "adr")
@@ -540,8 +562,11 @@ def adr_sections(v: Lenses) -> DataFrame:
 
 @query()
 def changelog_bullets(v: Lenses) -> DataFrame:
-    said = F.concat(F.lit("Version 1.0\n-----------\n\n- "), "subject", F.lit("\n  because it is simpler\n- short\n\n## 0.9\n* use a pool rather than threads.\n"))
-    return records.from_documents(v.messages.select("seq", F.lit("CHANGES.rst").alias("file_path"), said.alias("text")), "changelog")
+    return records.from_documents(v.messages.select("seq", F.lit("CHANGES.rst").alias("file_path"), _changelog().alias("text")), "changelog")
+
+
+def _changelog() -> F.Column:
+    return F.concat(F.lit("Version 1.0\n-----------\n\n- "), "subject", F.lit("\n  because it is simpler\n- short\n\n## 0.9\n* use a pool rather than threads.\n"))
 
 
 @query("""r as (select 'u' || cast(seq % 400 as varchar) as uid, 'ref' || cast(seq % 90 as varchar) as source_ref, subject as content, case seq % 3 when 0 then 'event' else 'decision' end as tier, (seq % 5) / 10.0::double as confidence, seq from messages)
@@ -551,6 +576,35 @@ def dedupe_records(v: Lenses) -> DataFrame:
     return records.deduped(r).select("uid", "seq")
 
 
+# ---- table functions of SQL
+
+
+def _by_sql(v: Lenses, sql: str, **tables: DataFrame) -> DataFrame:
+    tables_.register(v.spark)
+    return v.spark.sql(sql, **tables)
+
+
+@query(ORACLES["patch_changed_lines"])
+def sql_changed_lines(v: Lenses) -> DataFrame:
+    return _by_sql(v, "select p.id, l.line from {patches} p, lateral changed_lines(p.patch) l", patches=v.patches)
+
+
+@query(ORACLES["split_sentences_docs"])
+def sql_sentences(v: Lenses) -> DataFrame:
+    return _by_sql(v, "select d.doc_id, count(*) as n, sum(length(s.sentence)) as chars from {documents} d, lateral sentences(d.text) s group by d.doc_id", documents=v.documents)
+
+
+@query("""select seq, 0 as nth, 'Version 1.0' as title, subject || ' because it is simpler' as item from messages union all select seq, 1, '0.9', 'use a pool rather than threads.' from messages""", "messages")
+def sql_changelog_items(v: Lenses) -> DataFrame:
+    return _by_sql(v, "select c.seq, i.nth, i.title, i.item from {changelogs} c, lateral changelog_items(c.text) i", changelogs=v.messages.select("seq", _changelog().alias("text")))
+
+
+@query(f"""m as (select seq, trim(regexp_replace(unnest(string_split_regex(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')), '^\\s*[-*+]\\s+', '')) as s from messages), {parts_sql()}
+select seq, content, reason, alternatives, case when trim(reason) <> '' or len(alternatives) > 0 then 'decision' else 'event' end as tier from p where s <> '' and ({" or ".join(f"contains(lower(s), '{k}')" for k in text.KEYWORDS)})""", "messages")
+def sql_decisions(v: Lenses) -> DataFrame:
+    return _by_sql(v, "select m.seq, d.content, d.reason, d.alternatives, d.tier from {messages} m, lateral decisions_in(m.body) d", messages=v.messages)
+
+
 # ---- binding
 
 _CHANGED = "c as (select distinct decision_uid, 'src/m' || substr(file_path, 6, 1) || '/f' || cast(cast(substr(decision_uid, 2) as bigint) % 15 * 10 + cast(substr(file_path, 6, 1) as int) as varchar) || '.py' as file_path, line from links)"
@@ -693,7 +747,8 @@ def export_context_pack(v: Lenses) -> DataFrame:
     return reports.context_pack(v.nodes.filter("valid_to is null"), v.decisions)
 
 
-@query()
+@query("""select uid, cast(to_json({'uid': uid, 'content': content, 'reason': reason, 'alternatives': cast([] as varchar[]), 'status': status, 'source': source, 'source_ref': source_ref, 'timestamp': strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g'),
+  'author': author, 'file_path': file_path, 'line': line, 'constraints': cast([] as varchar[]), 'confidence': confidence, 'category': category, 'tier': tier}) as varchar) as json from decisions""", "decisions")
 def decision_json_rows(v: Lenses) -> DataFrame:
     none = F.array().cast("array<string>")
     return reports.decision_json(v.decisions.withColumns({"alternatives": none, "constraints": none}))

@@ -184,4 +184,6 @@ def with_lenses(sql: str, *names: str) -> str:
         order += [x for x in build_order(n) if x not in order]
     views = ", ".join(f"{n} as ({LENSES[n][1]})" for n in order)
     sql = sql.strip()
+    if sql.startswith("recursive "):
+        return f"with recursive {views}, {sql.removeprefix('recursive ')}"
     return f"with {views} {sql}" if sql.lower().startswith("select") else f"with {views}, {sql.removeprefix('with ')}"
