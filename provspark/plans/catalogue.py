@@ -667,6 +667,16 @@ def conflicts_all(v: Lenses) -> DataFrame:
     return conflicts.detect(v.disputes).select("type", "uid_a", "uid_b", "place", "matched")
 
 
+_COUNTS = "[" + ", ".join(f"length(said) - length(replace(said, '{c}', ''))" for c in conflicts.LETTERS) + "]"
+
+
+@query(f"""{_PAIRS}, l as (select uid, list_append(c, length(said) - list_sum(c)) as letters from (select uid, said, {_COUNTS} as c from b) y)
+select count(*) as compared, count(*) filter (where 2.0::double * list_sum(list_transform(list_zip(p.letters, q.letters), lambda t: least(t[1], t[2]))) / greatest(list_sum(p.letters) + list_sum(q.letters), 1) >= {conflicts.RESTATEMENT}) as in_python
+from x join l p on p.uid = x.uid_a join l q on q.uid = x.uid_b where len(matched) > 0 and (len(list_intersect(matched, {_STRONG})) > 0 or overlap >= 0.25)""", "disputes")
+def similarity_funnel(v: Lenses) -> DataFrame:
+    return conflicts.similarity_funnel(v.disputes)
+
+
 @query(f"""{_PAIRS} select (select cast(sum(n * (n - 1) // 2) as bigint) from (select count(*) as n from h group by place)) as same_place,
   count(*) filter (where len(matched) > 0) as opposite, count(*) filter (where len(matched) > 0 and not (len(list_intersect(matched, {_STRONG})) > 0 or overlap >= 0.25)) as rejected from x""", "disputes")
 def conflict_funnel(v: Lenses) -> DataFrame:
