@@ -542,6 +542,39 @@ def polish_content(v: Lenses) -> DataFrame:
     return v.messages.select("seq", text.polish_column(F.col("subject")).alias("content"), text.usable_column(F.col("subject")).alias("usable"))
 
 
+_WHOLE = lambda t: ONE_LINE.format(t)
+_HEADLESS_OF = lambda t: f"regexp_replace({_TRIMMED(_WHOLE(t))}, {_RE(text.SECTION_HEAD.replace('(?=[^:]{1,40}:' + chr(92) + 's+' + chr(92) + 'S)', ''))}, '')"
+_POLISHED = f"""c as (select *, {_CLAUSE(_HEADLESS_OF("content"))} as said, {_CLAUSE(_WHOLE("reason"))} as why, list_transform(alternatives, lambda a: {_CLAUSE(f"regexp_replace({_WHOLE('a')}, '[.]+$', '')")}) as others,
+  regexp_replace({_TRIMMED(_WHOLE("content"))}, '^[^:]{{1,40}}:\\s+', '') as bare, trim(reason) <> '' or len(alternatives) > 0 as decided from p),
+r as (select * exclude (content, reason, alternatives), case when regexp_matches(said, '^\\p{{Ll}}[^\\p{{Lu}}./_`\\s-]*(\\s|$)') then upper(substr(said, 1, 1)) || substr(said, 2) else said end as content,
+  not regexp_matches(bare, '(?i)^,*({_LEADS}),*\\s') and (regexp_matches(bare, '^\\S+\\s+\\S+\\s+\\S') or regexp_matches(bare, '(?i)^,*({_DECIDING}),*\\s+\\S') or (regexp_matches(bare, '^\\S+\\s+\\S') and regexp_matches(bare, '[A-Z0-9_`\\[\\]()-]'))) as usable from c)"""
+_UNWRAPPED = "regexp_replace(replace(body, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(10), 'g')"
+
+
+@query(f"""b as (select seq, sha, subject, body, list_filter(list_transform(regexp_extract_all(body, '(?m)^\\s*[-*+]\\s+(.+)$', 1), lambda x: trim(x)), lambda x: x <> '') as bullets, {_SUBJECT} as title, {_DEP.format("subject")} as dep from messages),
+u as (select seq, sha, dep, list_concat([{{'kind': 'commit-subject', 'said': title}}], list_transform(list_filter(case when len(bullets) > 0 then bullets else list_filter(string_split_regex({_UNWRAPPED}, '\\n+'), lambda x: x <> '') end,
+  lambda x: {" or ".join(f"contains(lower(x), '{k}')" for k in text.KEYWORDS)}), lambda x: {{'kind': 'commit-body', 'said': x}})) as found from b),
+i as (select seq, sha, dep, unnest(found) as x, unnest(range(len(found))) as nth from u), m as (select i.seq as number, sha, dep, nth, x.kind as kind, x.said as s, i.seq * 1000 + nth as seq from i), {parts_sql()}, {_POLISHED}
+select m.number as seq, cast(m.nth as int) as nth, case when length(r.content) > 220 then substr(r.content, 1, 217) || '...' else r.content end as content, r.why as reason, r.others as alternatives, 'accepted' as status, 'commit' as source,
+  'commit ' || m.sha as source_ref, '' as file_path, case m.kind when 'commit-subject' then case when not decided then 0.5 when dep then 0.65 else 0.6 end else case when decided then 0.7 else 0.55 end end::double as confidence,
+  case when m.kind = 'commit-subject' and dep then 'dependency' else 'design' end as category, case when decided then 'decision' else 'event' end as tier from r join m on m.seq = r.seq where not decided or usable""", "messages")
+def commit_record_columns(v: Lenses) -> DataFrame:
+    """Records of commits without their uid, whose fingerprint is no function of SQL."""
+    return records.from_messages(_with_message(v)).drop("uid")
+
+
+@query(f"""i as (select seq as number, 0 as k, 'Version 1.0' as title, 'Version 1.0: ' || subject || ' because it is simpler' as line from messages union all select seq, 1, '0.9', '0.9: use a pool rather than threads.' from messages),
+x as (select number, k, title, string_split_regex(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+') as parts from i),
+y as (select number, title, k, unnest(parts) as s, unnest(range(len(parts))) as j from x),
+m as (select number, title, s, row_number() over (partition by number order by k, j) - 1 as nth, number * 1000 + row_number() over (partition by number order by k, j) as seq from y), {parts_sql()}, {_POLISHED}
+select m.number as seq, cast(m.nth as int) as nth, case when length(r.content) > 220 then substr(r.content, 1, 217) || '...' else r.content end as content, r.why as reason, r.others as alternatives, 'accepted' as status, 'comment' as source,
+  'CHANGES.rst · ' || m.title as source_ref, 'CHANGES.rst' as file_path, 0.6::double as confidence, 'design' as category, case when r.why <> '' or len(r.others) > 0 then 'decision' else 'event' end as tier, cast([] as varchar[]) as constraints
+from r join m on m.seq = r.seq where ({" or ".join(f"contains(lower(m.s), '{k}')" for k in text.KEYWORDS)}) and (not (r.why <> '' or len(r.others) > 0) or usable)""", "messages")
+def changelog_columns(v: Lenses) -> DataFrame:
+    """Records of changelogs without their uid."""
+    return changelog_bullets(v).drop("uid")
+
+
 def _with_message(v: Lenses) -> DataFrame:
     return v.messages.select("seq", "sha", F.concat_ws("\n\n", "subject", "body").alias("message"), F.lit("").alias("file_path"))
 

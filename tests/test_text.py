@@ -1,5 +1,8 @@
 """Prose rules: plain functions and column expressions agree, and the cases that shaped them hold."""
 
+import random
+
+import plain_records
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,17 +33,17 @@ def test_split_reason():
     ("bump qs from 6.5.2 to 6.5.3", "event", "dependency", 0.5), ("build(deps): bump qs from 1 to 2 to fix CVE-2026-12590", "decision", "dependency", 0.65),
 ])
 def test_commit_subjects(subject, tier, category, confidence):
-    (r,) = records.of_commit(subject, "commit abc")
+    (r,) = plain_records.of_commit(subject, "commit abc")
     assert (r["tier"], r["category"], r["confidence"]) == (tier, category, confidence)
 
 
 def test_subject_content_and_alternative():
-    (r,) = records.of_commit("refactor: use node:buffer instead of safe-buffer (#6071)", "commit abc")
+    (r,) = plain_records.of_commit("refactor: use node:buffer instead of safe-buffer (#6071)", "commit abc")
     assert (r["content"], r["alternatives"]) == ("Use node:buffer", ["safe-buffer (#6071)"])
 
 
 def test_commit_body():
-    found = records.of_commit("x\n\n- use locks because writers race\n- typo", "commit abc")
+    found = plain_records.of_commit("x\n\n- use locks because writers race\n- typo", "commit abc")
     assert [(r["confidence"], r["tier"]) for r in found] == [(0.5, "event"), (0.7, "decision")]
 
 
@@ -80,7 +83,7 @@ def test_changelog():
     assert records.changelog_items(said) == [("Version 3.0", "Use ``redirect`` because it is simpler."), ("2.0", "drop y to avoid z")]
     assert records.changelog_items("* use a pool now\nloose\n  and rest\n\n  not this\n") == [("Changelog", "use a pool now and rest")]
     assert records.changelog_items("* above the heading\n\n# 1.0\n+ kept because of it\n") == [("1.0", "kept because of it")]
-    assert [r["tier"] for r in records.of_changelog(said, "CHANGES.rst")] == ["decision", "decision"]
+    assert [r["tier"] for r in plain_records.of_changelog(said, "CHANGES.rst")] == ["decision", "decision"]
 
 
 def test_refs(spark):
@@ -113,3 +116,34 @@ def test_columns_say_what_the_functions_say(spark):
         while words and words[-1].lower().strip(".,;:") in text.TAILS:
             words = words[:-1]
         assert got[i][0] == " ".join(words).rstrip(" .,;:"), said
+
+
+def test_records_of_messages_as_one_by_one(spark):
+    """Records by column expressions against plain Python, over random messages, odd ones among them."""
+    rng = random.Random(12)
+    heads = ["feat(core): ", "fix: ", "", "build(deps): bump x from 1 to 2 ", "Merge pull request #12 from a/b ", "  ", "Changed: ", "chore: "]
+    scraps = ["use pools", "because it is cheap", "instead of threads.", "rather than (maps", "to avoid races", "Now", "also", "e.g.", "and", "due to", "x_y", "(see", "this)", "decided", "prefer `a.b`", "É", "so that", "...", "by the"]
+    line = lambda: " ".join(rng.choice(scraps) for _ in range(rng.randrange(1, 8))) + rng.choice(["", ".", ". ", "!", ":"])
+    body = lambda: rng.choice(["\n", "\n\n"]).join(rng.choice(["- ", "* ", "", "", "  "]) + line() for _ in range(rng.randrange(5)))
+    said = [rng.choice(heads) + line() + rng.choice(["", "\n\n", "\n"]) + body() for _ in range(700)] + [None, "", "\n\n", " \n x", "word " * 300 + "because " + "of it " * 200, "a instead of " + "b " * 300 + "."]
+    rows = [(i, f"{i:08x}", m, rng.choice(["", "src/a.py", None])) for i, m in enumerate(said)]
+    df = spark.createDataFrame(rows, "seq long, sha string, message string, file_path string")
+    got = {}
+    for r in records.from_messages(df).orderBy("seq", "nth").collect():
+        got.setdefault(r["seq"], []).append({k: v for k, v in r.asDict().items() if k not in ("seq", "nth")})
+    for i, sha, m, path in rows:
+        assert got.get(i, []) == plain_records.of_commit(m, f"commit {sha}", path or ""), m
+
+
+def test_records_of_changelogs_as_one_by_one(spark):
+    rng = random.Random(5)
+    line = lambda: rng.choice(["* ", "- ", "  ", "", "+ "]) + rng.choice(["use pools because of load.", "drop y to avoid z. Keep x.", "plain words only here", "short", "Decided on maps rather than lists."])
+    texts = ["\n".join(rng.choice([line(), line(), "", "# 1.0", "Version 2\n---------"]) for _ in range(12)) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, "docs/CHANGES.md", t) for i, t in enumerate(texts)], "seq long, file_path string, text string")
+    got = {}
+    for r in records.from_documents(df, "changelog").orderBy("seq", "nth").collect():
+        assert r["constraints"] == []
+        got.setdefault(r["seq"], []).append({k: v for k, v in r.asDict().items() if k not in ("seq", "nth", "constraints")})
+    assert len(got) > 30
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == plain_records.of_changelog(t, "CHANGES.md"), t
