@@ -9,6 +9,7 @@ import argparse
 import json
 import re
 import sys
+from collections.abc import Callable
 from datetime import date, datetime
 from pathlib import Path
 
@@ -19,10 +20,12 @@ from provspark import schema
 from provspark.functions import paths, text
 from provspark.operators import bind, conflicts, graph, lookup, records, reports, store, temporal
 from provspark.session import local_session, ship
-from provspark.sources import files, git, parsers
+from provspark.sources import enrichment, files, git, parsers
 from provspark.streaming import incremental
 
 SHOWN = 10
+#: Records that an answer tells at most, unless asked for more; counts and summaries are of all.
+MOST_ROWS = 1000
 
 
 class BadArgument(ValueError):
@@ -42,8 +45,11 @@ class Engine:
 
     # ---- writing
 
-    def index(self, repo: str, depth: int | None = None, full: bool = False) -> dict:
-        """Reads a repository (or, without one, a working tree) into the store: versions, edges, decisions and links; incremental behind the checkpoint unless full."""
+    def index(self, repo: str, depth: int | None = None, full: bool = False, ask: Callable[[str], str] | None = None, jobs: int = 0) -> dict:
+        """Reads a repository (or, without one, a working tree) into the store: versions, edges, decisions and links; incremental behind the checkpoint unless full.
+
+        ask: a language model that is asked about messages in which the rules find no reason, by `jobs` tasks at a time (`enrichment`).
+        """
         state = {} if full else self.store.checkpoint()
         nodes = self._t("nodes")
         if not state or store.needs_rebuild(nodes, state.get("node_count", 0)):
@@ -69,7 +75,7 @@ class Engine:
         # An incremental run reads the new commits and all documents; what is stored of anything else stays as it is.
         read = fresh if state else commits
         documents = self._documents(repo)
-        decisions = self._decisions(read, documents).cache()
+        decisions = self._decisions(read, documents, ask, jobs).cache()
         links = self._links(repo, read, decisions, found, documents)
         if state:
             fresh_uids = decisions.select(F.col("uid").alias("decision_uid")).distinct()
@@ -127,9 +133,13 @@ class Engine:
         found = graph.callers(calls.join(opened.select("file_path", "seq").distinct(), ["file_path", "seq"], "left_semi"), opened)
         when = opened.select(F.col("uid").alias("from_uid"), F.col("valid_from").alias("at"))
         to = nodes.select(F.col("uid").alias("to_uid"), F.col("name").alias("callee"), F.col("file_path").alias("to_path"), "valid_from", "valid_to")
-        met = found.join(when, "from_uid").join(to, "callee").filter("valid_from <= at and (valid_to is null or valid_to > at) and from_uid <> to_uid")
-        local = met.filter("to_path = file_path").select("call").distinct().withColumn("local", F.lit(True))
-        uses = met.join(local, "call", "left").filter("local is null or to_path = file_path").select("from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line").distinct()
+        asked = found.join(when, "from_uid")
+        holds = "valid_from <= at and (valid_to is null or valid_to > at)"
+        # A call with a namesake in its file at that time meets those of that file alone; only the others meet all of the name.
+        local = asked.join(to.withColumnRenamed("to_path", "file_path"), ["callee", "file_path"]).filter(holds)
+        abroad = asked.join(local.select("call").distinct(), "call", "left_anti").join(to.drop("to_path"), "callee").filter(holds)
+        cols = ["from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line"]
+        uses = local.select(*cols).unionByName(abroad.select(*cols)).filter("from_uid <> to_uid").distinct()
         return graph.hierarchy(opened).unionByName(uses)
 
     def _documents(self, repo: str) -> dict[str, DataFrame]:
@@ -137,11 +147,13 @@ class Engine:
         readers = {"adr": (files.design_documents, f"{repo.rstrip('/')}/{files.DESIGN}"), "changelog": (files.changelog, repo)}
         return {kind: read(self.spark, repo) for kind, (read, folder) in readers.items() if files.exists(self.spark, folder)}
 
-    def _decisions(self, commits: DataFrame | None, documents: dict[str, DataFrame]) -> DataFrame:
+    def _decisions(self, commits: DataFrame | None, documents: dict[str, DataFrame], ask: Callable[[str], str] | None = None, jobs: int = 0) -> DataFrame:
         parts = []
         if commits is not None:
             said = commits.select("seq", "sha", "message", F.coalesce(F.try_element_at("changed_files", F.lit(1)), F.lit("")).alias("file_path"))
-            parts.append(records.from_messages(said).join(commits.select("seq", "timestamp", "author"), "seq").withColumn("constraints", F.array().cast("array<string>")).withColumn("part", F.lit(0)))
+            by_rules = records.from_messages(said)
+            found = by_rules if ask is None else by_rules.unionByName(enrichment.enriched(said.repartition(jobs) if jobs else said, ask).withColumn("nth", F.lit(999)))
+            parts.append(found.join(commits.select("seq", "timestamp", "author"), "seq").withColumn("constraints", F.array().cast("array<string>")).withColumn("part", F.lit(0)))
         for k, (kind, docs) in enumerate(documents.items(), 1):
             parts.append(records.from_documents(docs, kind).join(docs.select("seq", F.col("modified").alias("timestamp")), "seq").withColumn("author", F.lit("")).withColumn("part", F.lit(k)))
         if not parts:
@@ -220,7 +232,7 @@ class Engine:
     def graph_at(self, day: str, scope: str = "", zone: str = "UTC") -> dict:
         day, at = self._end_of(day, zone)
         nodes, decisions = self._t("nodes"), self._t("decisions")
-        shown = temporal.decisions_by_day(decisions.filter(paths.visible() & paths.starts_with(F.col("file_path"), scope)), day, zone).orderBy("timestamp", "uid")
+        shown = temporal.decisions_by_day(decisions.filter(paths.visible() & paths.starts_with(F.col("file_path"), scope)), day, zone).orderBy("timestamp", "uid").limit(MOST_ROWS)
         held = temporal.nodes_at(nodes, at, scope)
         row = temporal.snapshot(nodes, self._t("edges"), decisions, at, day, scope).first()
         summary = temporal.tightest_first(held.withColumn("seq", F.xxhash64("uid")))
@@ -243,18 +255,28 @@ class Engine:
     def timeline(self, scope: str = "") -> list[str]:
         return [str(r["day"]) for r in temporal.timeline(self._t("nodes"), scope).orderBy("day").collect()]
 
-    def decisions(self, file: str | None = None, newest_first: bool = False, include_events: bool = False, include_dependency: bool = False) -> dict:
+    def decisions(self, file: str | None = None, newest_first: bool = False, include_events: bool = False, include_dependency: bool = False, limit: int = MOST_ROWS) -> dict:
+        """count is of all; of the records at most `limit` are told."""
         rows = self._t("decisions").filter(paths.starts_with_normal(F.col("file_path"), file) & paths.visible(include_events, include_dependency))
         when = F.col("timestamp").desc() if newest_first else F.col("timestamp").asc()
-        found = self._shown(rows.orderBy(when, "uid"))
-        return {"file": file, "count": len(found), "decisions": found}
+        return {"file": file, "count": rows.count(), "decisions": self._shown(rows.orderBy(when, "uid"), limit)}
 
-    def conflicts(self, scope: str = "") -> dict:
+    def conflicts_found(self, scope: str = "") -> DataFrame:
+        """(type, decision_a, decision_b, location, matched_words, explanation, confidence, rank) of all conflicts, for any sink."""
         rows = self._t("decisions").filter((F.col("status") == "accepted") & paths.conflict_scope(F.col("file_path"), scope)).withColumn("seq", F.xxhash64("uid"))
-        found = conflicts.detect(rows).orderBy("rank", "place", "uid_a", "uid_b").collect()
-        return {"conflicts": [{"type": r["type"], "decision_a": r["uid_a"], "decision_b": r["uid_b"], "location": r["place"], "matched_words": r["matched"]} for r in found]}
-
-    def diff(self, repo: str, old: str, new: str, scope: str = "", zone: str = "UTC") -> list[dict]:
+        return reports.conflict_rows(conflicts.detect(rows), rows)
+
+    def conflicts(self, scope: str = "", limit: int = MOST_ROWS) -> dict:
+        """summary is of all conflicts; at most `limit` are told."""
+        found = self.conflicts_found(scope).cache()
+        by_type = {r["type"]: r["count"] for r in found.groupBy("type").count().orderBy("type").collect()}
+        told = found.orderBy("rank", "location", "decision_a.uid", "decision_b.uid").drop("rank").limit(limit)
+        out = [json.loads(x["json"]) for x in told.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")).collect()]
+        found.unpersist()
+        return {"scope": scope, "conflicts": out, "summary": {"total": sum(by_type.values()), "by_type": by_type}}
+
+    def diff(self, repo: str, old: str, new: str, scope: str = "", zone: str = "UTC", limit: int = MOST_ROWS) -> dict:
+        """summary is of all changes; at most `limit` are told."""
         ends = []
         for ref in (old, new):
             try:
@@ -264,7 +286,10 @@ class Engine:
         if ends[0] > ends[1]:
             raise BadArgument("the first instant lies after the second")
         both = [temporal.decisions_at(self._t("decisions"), F.timestamp_micros(F.lit(at)), scope).filter(paths.visible()) for at in ends]
-        return [r.asDict() for r in temporal.ranked_changes(temporal.changes(*both)).select("kind", "uid", "content", "old_status", "new_status", "file_path").collect()]
+        found = temporal.changes(*both)
+        told = temporal.ranked_changes(reports.change_rows(found, *both)).limit(limit)
+        out = [json.loads(x["json"]) for x in told.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")).collect()]
+        return {"from": old, "to": new, "scope": scope, "changes": out, "summary": temporal.change_counts(found).first().asDict()}
 
     def export(self, scope: str = "") -> DataFrame:
         """(file_path, markdown) of the context pack; write it with any Spark sink."""
@@ -292,17 +317,60 @@ def located(raw: str, root: str | None) -> str:
         raise BadArgument(f"{path} is not under {root}") from None
 
 
-def as_table(out: dict | list) -> str:
-    """An answer as lines of text: a heading for what is single, and a table for each list of records."""
-    tables = {"": out} if isinstance(out, list) else {k: v for k, v in out.items() if isinstance(v, list) and v}
-    lines = [] if isinstance(out, list) else [f"{k}: {v}" for k, v in out.items() if not isinstance(v, list | dict)]
-    for name, rows in tables.items():
+#: List of an answer -> (heading, what a record shows under it); other lists show all that their records hold.
+COLUMNS = {
+    "conflicts": (("Type", "type"), ("Decision A", "decision_a"), ("Decision B", "decision_b"), ("Location", "location")),
+    "changes": (("Change", "kind"), ("Decision", "content"), ("Source", "source_ref"), ("Date", "timestamp"), ("Scope", "file_path")),
+}
+
+
+def _cell(value: object) -> str:
+    if isinstance(value, dict):
+        value = value.get("content")
+    return " ".join(str("" if value is None else value).split())
+
+
+def _counts(found: dict) -> str:
+    flat = {k: v for name, value in found.items() for k, v in (value.items() if isinstance(value, dict) else [(name, value)])}
+    return " · ".join(f"{v} {k}" for k, v in flat.items())
+
+
+def _tables(out: dict | list) -> list[tuple[str, list[list[str]]]]:
+    """(name, heading and rows) of each list of an answer."""
+    found = {k: v for k, v in ({"": out} if isinstance(out, list) else out).items() if isinstance(v, list) and v}
+    tables = []
+    for name, rows in found.items():
         rows = [r if isinstance(r, dict) else {name: r} for r in rows]
-        heads = list(dict.fromkeys(k for r in rows for k in r))
-        cells = [heads, *([" ".join(str("" if r.get(h) is None else r[h]).split())[:60] for h in heads] for r in rows)]
-        widths = [max(len(c[i]) for c in cells) for i in range(len(heads))]
-        lines += ["", *([name] if name else []), *(" | ".join(x.ljust(w) for x, w in zip(c, widths, strict=True)).rstrip() for c in cells)]
-    return "\n".join(lines).strip() or "nothing"
+        columns = COLUMNS.get(name) or [(k, k) for k in dict.fromkeys(k for r in rows for k in r)]
+        tables.append((name, [[h for h, _ in columns], *([_cell(r.get(k)) for _, k in columns] for r in rows)]))
+    return tables
+
+
+def _single(out: dict | list) -> tuple[list[str], list[str]]:
+    """Lines for what is single, and for the summary."""
+    if isinstance(out, list):
+        return [], []
+    return [f"{k}: {v}" for k, v in out.items() if not isinstance(v, list | dict)], [f"Summary: {_counts(v)}" for k, v in out.items() if k == "summary"]
+
+
+def as_table(out: dict | list) -> str:
+    """An answer as lines of text: a heading for what is single, a table for each list of records, and the summary."""
+    lines, last = _single(out)
+    for name, cells in _tables(out):
+        cells = [[x[:60] for x in row] for row in cells]
+        widths = [max(len(row[i]) for row in cells) for i in range(len(cells[0]))]
+        lines += ["", *([name] if name else []), *(" | ".join(x.ljust(w) for x, w in zip(row, widths, strict=True)).rstrip() for row in cells)]
+    return "\n".join([*lines, *(["", *last] if last else [])]).strip() or "nothing"
+
+
+def as_markdown(out: dict | list) -> str:
+    """The same in Markdown, nothing clipped."""
+    lines, last = _single(out)
+    lines = [f"- {x}" for x in lines]
+    for name, cells in _tables(out):
+        rows = ["| " + " | ".join(x.replace("\\", "\\\\").replace("|", "\\|") for x in row) + " |" for row in cells]
+        lines += ["", *([f"## {name}", ""] if name else []), rows[0], "|" + " --- |" * len(cells[0]), *rows[1:]]
+    return "\n".join([*lines, *(["", *last] if last else [])]).strip() or "nothing"
 
 
 def schema_names() -> tuple[str, ...]:
@@ -312,7 +380,7 @@ def schema_names() -> tuple[str, ...]:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="provspark")
     p.add_argument("--store", help="folder of the store; else the nearest .provspark from here (or --root) upwards")
-    p.add_argument("--format", choices=("json", "table"), default="json")
+    p.add_argument("--format", choices=("json", "table", "markdown"), default="json")
     p.add_argument("--zone", default="UTC")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("health")
@@ -320,6 +388,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("path")
     c.add_argument("--depth", type=int)
     c.add_argument("--full", action="store_true")
+    c.add_argument("--use-llm", action="store_true", help="ask a local model about messages in which the rules find no reason")
+    c.add_argument("--llm-model", default="llama3.2")
+    c.add_argument("--llm-url", default=enrichment.LOCAL)
+    c.add_argument("--jobs", type=int, default=0, help="tasks that ask at a time")
     c = sub.add_parser("why")
     c.add_argument("location")
     c.add_argument("--root", help="where the repository lies, for an absolute location")
@@ -331,13 +403,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     c = sub.add_parser("graph")
     c.add_argument("--at", required=True)
     c.add_argument("--scope", default="")
-    c = sub.add_parser("conflicts")
-    c.add_argument("--scope", default="")
+    conflicts_ = sub.add_parser("conflicts")
+    conflicts_.add_argument("--scope", default="")
     c = sub.add_parser("diff")
     for name in ("old", "new"):
         c.add_argument(name)
     c.add_argument("--repo", default=".")
     c.add_argument("--scope", default="")
+    for x in (d, conflicts_, c):
+        x.add_argument("--limit", type=int, default=MOST_ROWS, help="records told at most; counts and summaries are of all")
     c = sub.add_parser("export")
     c.add_argument("--scope", default="")
     c.add_argument("--output", required=True)
@@ -347,21 +421,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     code = 0
     try:
         if a.command == "index":
-            out = engine.index(a.path, a.depth, a.full)
+            out = engine.index(a.path, a.depth, a.full, enrichment.local_model(a.llm_model, a.llm_url) if a.use_llm else None, a.jobs)
         elif a.command == "why":
             out = engine.why(located(a.location, a.root), a.include_events, a.include_dependency)
             code = 0 if out["decisions"] else 1
         elif a.command == "decisions":
-            out = engine.decisions(a.file, not a.timeline, a.include_events, a.include_dependency)
+            out = engine.decisions(a.file, not a.timeline, a.include_events, a.include_dependency, a.limit)
             code = 0 if out["count"] else 1
         elif a.command == "health":
             out = engine.health()
         elif a.command == "graph":
             out = engine.graph_at(a.at, a.scope, a.zone)
         elif a.command == "conflicts":
-            out = engine.conflicts(a.scope)
+            out = engine.conflicts(a.scope, a.limit)
         elif a.command == "diff":
-            out = engine.diff(a.repo, a.old, a.new, a.scope, a.zone)
+            out = engine.diff(a.repo, a.old, a.new, a.scope, a.zone, a.limit)
         else:
             engine.export(a.scope).select("markdown").write.mode("overwrite").text(a.output)
             out = {"written": a.output}
@@ -369,7 +443,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out, code = {"error": str(e)}, 2
     except store.GraphShrinkError as e:
         out, code = {"error": str(e)}, 4
-    print(as_table(out) if a.format == "table" else json.dumps(out, ensure_ascii=False, default=str))
+    print({"table": as_table, "markdown": as_markdown}.get(a.format, lambda x: json.dumps(x, ensure_ascii=False, default=str))(out))
     return code
 
 

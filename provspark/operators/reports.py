@@ -21,6 +21,24 @@ def node_json(nodes: DataFrame) -> DataFrame:
     return nodes.select("uid", F.to_json(F.struct(*NODE_KEYS), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def conflict_rows(found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Conflicts (type, uid_a, uid_b, place, matched, rank) with what both decisions say, and why they are held against each other."""
+    said = decisions.select("uid", F.struct("uid", "content", "source_ref", "file_path", "status").alias("said"))
+    both = found
+    for side in "ab":
+        both = both.join(said.select(F.col("uid").alias(f"uid_{side}"), F.col("said").alias(f"decision_{side}")), f"uid_{side}")
+    terms = F.array_join("matched", " / ")
+    told = F.when(F.col("type") == "supersede", "one claims to supersede the other, which still stands").when(F.col("type") == "temporal", F.concat(F.lit("turned around in one file within days: "), terms)).otherwise(F.concat(F.lit("opposite terms in one place: "), terms))
+    return both.select("type", "decision_a", "decision_b", F.col("place").alias("location"), F.col("matched").alias("matched_words"), told.alias("explanation"), F.lit(1.0).alias("confidence"), "rank")
+
+
+def change_rows(found: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Changes (kind, uid, old_status) with the decision as it is now, or was before it went."""
+    cols = ["content", "reason", "source", "source_ref", "status", "file_path", "timestamp"]
+    last = new.select("uid", *cols).unionByName(old.join(new.select("uid"), "uid", "left_anti").select("uid", *cols))
+    return found.select("kind", "uid", "old_status").join(last, "uid").select("kind", "uid", "content", "reason", "source", "source_ref", "status", "old_status", "file_path", "timestamp")
+
+
 def by_language(nodes: DataFrame) -> DataFrame:
     return nodes.filter(paths.is_live()).groupBy("language").agg(F.count("*").alias("n"))
 

@@ -1,6 +1,6 @@
 """Views that give the driver's tables the shape of the relations, in SQL that Spark and DuckDB read alike.
 
-nodes and symbol_events come from events, edges from neighbouring nodes of a file, decisions, messages and commits from orders, links and call_sites from lineitem, source files from part.
+nodes and symbol_events come from events, edges from neighbouring nodes of a file, decisions, messages and commits from orders, links and call_sites from lineitem, source files from part. Commits are numbered within their day behind the sum of later days, so the one window without a key is over days.
 """
 
 from __future__ import annotations
@@ -115,7 +115,11 @@ from orders""",
     "commits": (
         ("orders",),
         """
-select row_number() over (order by o_orderdate desc, o_orderkey desc) as seq, md5(cast(o_orderkey as string)) as sha, o_orderdate as timestamp, o_orderkey as id from orders""",
+select cast(before + row_number() over (partition by day order by o_orderdate desc, o_orderkey desc) as bigint) as seq, md5(cast(o_orderkey as string)) as sha, o_orderdate as timestamp, o_orderkey as id
+from (
+  select o.o_orderkey, o.o_orderdate, d.day, d.before from (select o_orderkey, o_orderdate, cast(o_orderdate as date) as day from orders) o join (
+    select day, coalesce(sum(n) over (order by day desc rows between unbounded preceding and 1 preceding), 0) as before from (select day, count(*) as n from (select cast(o_orderdate as date) as day from orders) x group by day) c) d
+  on o.day = d.day) e""",
     ),
     "call_sites": (
         ("lineitem",),

@@ -1,9 +1,11 @@
-"""Records from a language model's answers, off unless a caller brings a client: what is called is a function, so nothing here opens a connection."""
+"""Records from a language model's answers, off unless asked for. What is called is a function of a message; `local_model` makes one for a model served on this machine."""
 
 from __future__ import annotations
 
 import json
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +15,11 @@ from provspark.functions import text
 from provspark.operators.records import RECORD
 
 MOST_CONFIDENCE = 0.7
+LOCAL = "http://localhost:11434"
+ASKED = """A commit message follows. If it tells a design decision, answer with one JSON object and nothing else: {"content": what was decided, "reason": why, "alternatives": [what was turned down], "confidence": 0 to 1}.
+If it tells none, answer {}.
+
+"""
 NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
@@ -51,3 +58,18 @@ def enriched(messages: DataFrame, ask: Callable[[str], str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=["seq", "nth", *NAMES])
 
     return messages.select("seq", "sha", "message", "file_path").mapInPandas(work, f"seq long, nth int, {RECORD}")
+
+
+def local_model(name: str, url: str = LOCAL, seconds: float = 60.0) -> Callable[[str], str]:
+    """message -> answer of a model behind the usual local HTTP interface (POST /api/generate). Where nothing answers, the answer is empty and the rules stand alone."""
+
+    def ask(message: str) -> str:
+        body = json.dumps({"model": name, "prompt": ASKED + message, "stream": False}).encode()
+        asked = urllib.request.Request(f"{url.rstrip('/')}/api/generate", body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(asked, timeout=seconds) as answer:
+                return str(json.load(answer).get("response") or "")
+        except (urllib.error.URLError, TimeoutError, ValueError, AttributeError):
+            return ""
+
+    return ask

@@ -221,9 +221,11 @@ def test_index_why_and_again(spark, repo, tmp_path):
     assert sorted(map(str, full._t("nodes").select(*cols).collect())) == sorted(map(str, e._t("nodes").select(*cols).collect()))
     graph_ = e.graph_at("2024-01-03")
     assert (graph_["nodes"], graph_["decisions"]) == (2, 1)
-    assert [c["kind"] for c in e.diff(str(repo), "2024-01-01", "HEAD")] == ["added"]
+    changed = e.diff(str(repo), "2024-01-01", "HEAD")
+    assert [(c["kind"], c["content"], c["source"]) for c in changed["changes"]] == [("added", "Use two", "commit")] and changed["summary"] == {"added": 1, "changed": 0, "superseded": 0, "removed": 0}
     assert e.timeline() == ["2024-01-01", "2024-01-05"]
-    assert e.decisions()["count"] == 2 and e.conflicts() == {"conflicts": []}
+    assert e.decisions()["count"] == 2 and e.conflicts() == {"scope": "", "conflicts": [], "summary": {"total": 0, "by_type": {}}}
+    assert len(e.decisions(limit=1)["decisions"]) == 1 and e.decisions(limit=1)["count"] == 2
     assert "### CodeNode: helper (lines 1-2)" in e.export().first()["markdown"]
     with pytest.raises(BadArgument):
         e.why("nothing_like_it")
@@ -248,3 +250,50 @@ def test_model_answers(spark):
     assert (r["confidence"], r["reason"], r["tier"]) == (0.7, "Use x", "decision")
     m = spark.createDataFrame([(1, "a", "tidy up", ""), (2, "b", "use x because y", "")], "seq long, sha string, message string, file_path string")
     assert [x["seq"] for x in enriched(m, lambda said: '{"content": "' + said + '"}').collect()] == [1]
+
+
+def test_local_model_over_http_and_without(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from provspark.sources.enrichment import enriched, local_model
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = asked["prompt"].rsplit("\n\n", 1)[1]
+            body = json.dumps({"response": json.dumps({"content": f"{asked['model']}: {said}"})}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    m = spark.createDataFrame([(1, "a", "tidy up", ""), (2, "b", "use x because y", ""), (3, "c", None, "")], "seq long, sha string, message string, file_path string")
+    url = f"http://127.0.0.1:{server.server_port}"
+    got = [(r["seq"], r["content"]) for r in enriched(m.filter("seq < 3"), local_model("tiny", url)).collect()]
+    server.shutdown()
+    assert got == [(1, "tiny: tidy up")]
+    assert enriched(m, local_model("tiny", "http://127.0.0.1:9", 2)).collect() == []
+
+
+def test_conflict_and_change_rows(spark):
+    from provspark import api
+    from provspark.operators import reports
+
+    rows = [("d1", "enable the cache", "a.py", "accepted"), ("d2", "disable the cache | now", "a.py", "accepted"), ("d3", "gone", "b.py", "accepted")]
+    d = spark.createDataFrame([(u, c, "why", "commit", f"commit {u}", p, s, datetime(2024, 1, 1)) for u, c, p, s in rows], "uid string, content string, reason string, source string, source_ref string, file_path string, status string, timestamp timestamp")
+    found = spark.createDataFrame([("opposite", "d1", "d2", "a.py", ["disable", "enable"], 2)], "type string, uid_a string, uid_b string, place string, matched array<string>, rank int")
+    r = reports.conflict_rows(found, d).first().asDict(True)
+    assert (r["decision_a"]["content"], r["decision_b"]["status"], r["location"]) == ("enable the cache", "accepted", "a.py") and "disable / enable" in r["explanation"]
+    new = d.filter("uid <> 'd3'").withColumn("status", F.when(F.col("uid") == "d2", "superseded").otherwise(F.col("status")))
+    changed = {x["uid"]: (x["kind"], x["status"], x["old_status"]) for x in reports.change_rows(temporal.changes(d, new), d, new).collect()}
+    assert changed == {"d2": ("superseded", "superseded", "accepted"), "d3": ("removed", "accepted", "accepted")}
+    out = {"scope": "x", "conflicts": [r], "summary": {"total": 1, "by_type": {"opposite": 1}}}
+    assert api.as_table(out).split("\n")[-1] == "Summary: 1 total · 1 opposite" and "Decision A" in api.as_table(out)
+    marked = api.as_markdown(out).split("\n")
+    assert marked[0] == "- scope: x" and "| opposite | enable the cache | disable the cache \\| now | a.py |" in marked and api.as_markdown([]) == "nothing"
