@@ -50,6 +50,7 @@ class Engine:
 
         ask: a language model that is asked about messages in which the rules find no reason, by `jobs` tasks at a time (`enrichment`).
         """
+        self.store.begin()
         state = {} if full else self.store.checkpoint()
         nodes = self._t("nodes")
         if not state or store.needs_rebuild(nodes, state.get("node_count", 0)):
@@ -301,7 +302,7 @@ def find_store(start: str, name: str = ".provspark") -> str:
     """The store of the nearest folder upwards from start, or the one that start itself would have."""
     at = Path(start).resolve()
     for folder in (at, *at.parents):
-        if (folder / name / "current").is_file():
+        if (folder / name / store.MANIFESTS).is_dir() or (folder / name / "current").is_file():
             return str(folder / name)
     return str(at / name)
 
@@ -441,7 +442,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             out = {"written": a.output}
     except BadArgument as e:
         out, code = {"error": str(e)}, 2
-    except store.GraphShrinkError as e:
+    except (store.GraphShrinkError, store.ConcurrentWriteError) as e:
         out, code = {"error": str(e)}, 4
     print({"table": as_table, "markdown": as_markdown}.get(a.format, lambda x: json.dumps(x, ensure_ascii=False, default=str))(out))
     return code

@@ -6,12 +6,14 @@ import json
 import uuid
 from pathlib import PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provspark import schema
 
+MANIFESTS = "manifests"
 TABLES = {"nodes": schema.NODE, "edges": schema.EDGE, "decisions": schema.DECISION, "links": schema.LINK}
 
 
@@ -84,14 +86,41 @@ def needs_rebuild(nodes: DataFrame, recorded: int) -> bool:
     return bool(row["n"] and row["flat"]) or 0 < row["n"] < recorded
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer has put a version in force since this one read the store."""
+
+
+#: Layout of the stored tables. What a version of an older layout lacks is added as it is read, step by step.
+LAYOUT = 2
+DEFAULTS_SINCE: dict[int, dict[str, dict[str, object]]] = {
+    2: {"links": {"commit_sha": ""}, "nodes": {"valid_to": None, "commit_sha": ""}, "decisions": {"category": schema.DEFAULTS["category"], "tier": schema.DEFAULTS["tier"]}},
+}
+
+
+def migrated(name: str, raw: DataFrame, layout: int) -> DataFrame:
+    """A stored table in today's layout."""
+    for step in range(layout + 1, LAYOUT + 1):
+        for column, value in DEFAULTS_SINCE[step].get(name, {}).items():
+            kind = TABLES[name][column]
+            default = F.lit(value).cast(kind)
+            raw = raw.withColumn(column, F.coalesce(F.col(column).cast(kind), default) if column in raw.columns else default)
+    return raw
+
+
 class Store:
-    """Tables in versioned folders under a root on any file system Spark writes; `current` names the version in force, so a write shows whole or not at all."""
+    """Tables in versioned folders under a root on any file system Spark writes.
+
+    A version is in force once its manifest is there: a small file with the next number, created only where no other has that number. So a write shows whole or not at all,
+    and of two writers that started from one version the second is refused. On file systems whose create isn't atomic (some object stores) keep to one writer.
+    A writer that dies between creating a manifest and filling it leaves an empty one; nothing is lost, but writers are refused until it is deleted.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, str(PurePosixPath(root)) if "://" not in root else root.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._seen: int | None = None
 
     def _read(self, name: str) -> str | None:
         p = self._path(f"{self.root}/{name}")
@@ -103,42 +132,86 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
-        stream = self._fs.create(self._path(f"{self.root}/{name}"), True)
+    def _write(self, name: str, text: str, overwrite: bool = True) -> None:
+        stream = self._fs.create(self._path(f"{self.root}/{name}"), overwrite)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
 
+    def _manifests(self) -> list[int]:
+        """Numbers of the manifests, newest first."""
+        folder = self._path(f"{self.root}/{MANIFESTS}")
+        if not self._fs.exists(folder):
+            return []
+        names = (f.getPath().getName() for f in self._fs.listStatus(folder))
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def _in_force(self) -> tuple[int, str | None, int]:
+        """(number, folder, layout) of the version in force. A manifest that is still being written isn't."""
+        for number in self._manifests():
+            try:
+                found = json.loads(self._read(f"{MANIFESTS}/{number:08}") or "")
+            except ValueError:
+                continue
+            return number, found["folder"], found["layout"]
+        before = self._read("current")  # the layout without manifests
+        return 0, before.strip() if before else None, 1
+
     def exists(self) -> bool:
-        return self._read("current") is not None
+        return self._in_force()[1] is not None
 
     def table(self, name: str) -> DataFrame:
-        """A stored table, empty where nothing is stored; older layouts get the columns they lack."""
-        version = self._read("current")
-        if version is None:
+        """A stored table, empty where nothing is stored; older layouts get what they lack."""
+        number, folder, layout = self._in_force()
+        self._seen = number if self._seen is None else self._seen
+        if folder is None:
             return self.spark.createDataFrame([], schema.ddl(TABLES[name]))
-        raw = self.spark.read.parquet(f"{self.root}/{version.strip()}/{name}")
+        raw = migrated(name, self.spark.read.parquet(f"{self.root}/{folder}/{name}"), layout)
         if name == "decisions":
             return schema.read_decisions(raw)
         return raw.select(*[(F.col(c) if c in raw.columns else F.lit(None).cast(kind)).alias(c) for c, kind in TABLES[name].items()])
 
+    def begin(self) -> None:
+        """A write that begins here is refused if anyone else puts a version in force before it does; without, it counts from the first table read since the last write."""
+        self._seen = self._in_force()[0]
+
     def write(self, tables: dict[str, DataFrame]) -> dict[str, int]:
         """Writes all four tables as a new version and puts it in force. The one before stays for those who read it; the one before that is deleted."""
-        before, older, version = self._read("current"), self._read("previous"), f"v-{uuid.uuid4().hex}"
+        base = self._in_force()[0] if self._seen is None else self._seen
+        folder = f"v-{uuid.uuid4().hex}"
         for name in TABLES:
             df = tables[name].select(*[F.col(c).cast(kind).alias(c) for c, kind in TABLES[name].items()])
             if name == "nodes":
                 df = df.sortWithinPartitions("file_path", "line_start")
-            df.write.parquet(f"{self.root}/{version}/{name}")
-        counts = {name: self.spark.read.parquet(f"{self.root}/{version}/{name}").count() for name in TABLES}
-        self._write("current", version)
-        if before:
-            self._write("previous", before)
-        if older and older != before:
-            self._fs.delete(self._path(f"{self.root}/{older.strip()}"), True)
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+        counts = {name: self.spark.read.parquet(f"{self.root}/{folder}/{name}").count() for name in TABLES}
+        try:
+            if self._in_force()[0] != base:
+                raise ConcurrentWriteError(f"version {base + 1} is there already")
+            self._write(f"{MANIFESTS}/{base + 1:08}", json.dumps({"folder": folder, "layout": LAYOUT}), overwrite=False)
+        except (ConcurrentWriteError, Py4JJavaError) as e:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+            if isinstance(e, Py4JJavaError) and "AlreadyExists" not in str(e.java_exception):
+                raise
+            raise ConcurrentWriteError(f"another writer was first to version {base + 1}; read the store again and repeat") from None
+        self._seen = None
+        self._drop_old(base + 1)
         return counts
 
+    def _drop_old(self, number: int) -> None:
+        """Deletes versions before the one before `number`."""
+        for old in (n for n in self._manifests() if n < number - 1):
+            found = json.loads(self._read(f"{MANIFESTS}/{old:08}") or "{}")
+            if found:
+                self._fs.delete(self._path(f"{self.root}/{found['folder']}"), True)
+            self._fs.delete(self._path(f"{self.root}/{MANIFESTS}/{old:08}"), False)
+        if number > 1:
+            for name in ("current", "previous"):  # of the layout without manifests
+                if folder := self._read(name):
+                    self._fs.delete(self._path(f"{self.root}/{folder.strip()}"), True)
+                    self._fs.delete(self._path(f"{self.root}/{name}"), False)
+
     def save_checkpoint(self, head: str, node_count: int) -> None:
         self._write("checkpoint.json", json.dumps({"head": head, "tool": "provspark", "node_count": node_count}))
 
