@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provspark.llm.common import cut, small_join
+from provspark.llm.common import cut, free_names, small_join
 
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
@@ -68,7 +68,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
 
 
 def place(docs: DataFrame, extra: tuple[str, ...] = (), schedules: tuple = SCHEDULES) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies (array of (position, taken)) for each row of docs (doc_id, text, source), with the columns `extra`."""
+    """doc_id, size, source_size, target, taken and copies (array of (position, taken)) for each row of docs (doc_id, text, source), with the columns `extra`, which settle ties."""
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", key, words().alias("size"), order.alias("order"), *extra), "sizes")
@@ -79,7 +79,7 @@ def place(docs: DataFrame, extra: tuple[str, ...] = (), schedules: tuple = SCHED
     by_range = d.groupBy("key", "range").agg(F.sum("size").alias("sum"))
     before = F.sum("sum").over(Window.partitionBy("key").orderBy("range")) - F.col("sum")
     d = small_join(d, by_range.select("key", "range", before.alias("before")), ["key", "range"])
-    start = F.col("before") + F.sum("size").over(Window.partitionBy("key", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    start = F.col("before") + F.sum("size").over(Window.partitionBy("key", "range").orderBy("order", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     d = d.withColumn("start", start).withColumn("goal", F.floor("target").cast("long"))
     kind = F.col("place") % len(schedules)
     copies = []
@@ -103,16 +103,15 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in the order of training, each as often as it is taken: whole copies, and the copy taken in part if half of it or more is.
 
-    Placing works on narrow rows; the texts then meet their copies by doc_id and a digest of the row. Rows that repeat each other get copies of their own.
+    Placing works on narrow rows; the texts then meet their copies by a digest of the whole row. Rows that are equal in every column are one text with the copies of all of
+    them: they are merged in each task before they meet, so a row that is repeated a million times is one row a task, and none is numbered.
     """
-    digest = F.xxhash64("source", F.sha2(F.coalesce("text", F.lit("")), 256))
-    nth = F.row_number().over(Window.partitionBy("id_", "digest_").orderBy(F.lit(1))).alias("nth_")
-    rows = docs.withColumns({"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "digest_": digest})
-    placed = place(rows.select("doc_id", "text", "source", "id_", "digest_"), ("id_", "digest_"))
-    numbered = placed.select("id_", "digest_", nth, "size", "copies")  # before the copies come apart
-    copies = numbered.select("id_", "digest_", "nth_", "size", F.explode("copies").alias("copy")).filter("copy.taken * 2 >= size").select("id_", "digest_", "nth_", F.col("copy.position").alias("position_"))
-    out = rows.select("*", nth).join(copies, ["id_", "digest_", "nth_"])
-    return out.repartitionByRange("position_", "id_").sortWithinPartitions("position_", "id_").select(*docs.columns)
+    identity, position = free_names(docs, "identity", "position")
+    rows = docs.withColumn(identity, F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    placed = place(rows.select("doc_id", "text", "source", identity), (identity,))
+    copies = placed.select(identity, "size", F.explode("copies").alias("copy")).filter("copy.taken * 2 >= size").select(identity, F.col("copy.position").alias(position))
+    out = rows.dropDuplicates([identity]).join(copies, identity)
+    return out.repartitionByRange(position, identity).sortWithinPartitions(position, identity).select(*docs.columns)
 
 
 def oracle() -> str:

@@ -152,7 +152,7 @@ def fold_is_held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 5000, bits: int = 20, most_slots: int = 4096, lasso: float = 5e-4) -> Model:
-    """Learns from docs (doc_id, text) and labels (doc_id, toxic). What comes to the driver is slots of words of the bounded samples."""
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic). What comes to the driver is slots of words of the bounded samples, a row for each id in them."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~fold_is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     nothing = np.zeros(0, np.int64)
@@ -166,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unla
         .unionByName(lab.orderBy(order, "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("kind")))
     )
     chosen = chosen.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))  # bounded by the samples
-    rows = _slots(d.join(F.broadcast(chosen), "doc_id").select("doc_id", "kinds", "text"), bits, most_slots).toArrow()
+    # A doc_id that docs repeat counts once, by the least of its rows: no more rows than the samples have ids come to the driver.
+    found = _slots(d.join(F.broadcast(chosen), "doc_id").select("doc_id", "kinds", "text"), bits, most_slots)
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("slots", "kinds")).alias("r")).select("doc_id", "r.kinds", "r.slots").toArrow()
     slots = [np.frombuffer(b.as_buffer(), np.int32) for b in rows.column("slots")]  # views, no copies
     kinds, ids = rows.column("kinds").to_pylist(), rows.column("doc_id").to_pylist()
     order_ = sorted(range(len(slots)), key=lambda i: (ids[i], xxhash.xxh3_128_digest(slots[i])))  # rows come in any order

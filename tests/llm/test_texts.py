@@ -316,3 +316,33 @@ def test_place_among(spark, n):
     cuts = sorted({(7 * i) % 40 for i in range(n)})
     rows = spark.range(-2, 45).select("id", place_among(mixing.F.col("id"), cuts).alias("p")).collect()
     assert [r["p"] for r in rows] == np.searchsorted(cuts, [r["id"] for r in rows], side="right").tolist()
+
+
+def test_fitting_brings_a_row_for_each_id_alone(spark, frame, monkeypatch):
+    """An id that docs repeat thousands of times with other texts is one row for the driver, and the fit is the same however rows lie."""
+    from provspark.llm import toxicity
+
+    rows = [(1, f"bad words number {i}") for i in range(3000)] + [(i, f"good text {i} of some kind") for i in range(2, 60)] + [(i, f"bad words again {i}") for i in range(60, 90)]
+    lab = spark.createDataFrame([(i, 1, int(i == 1 or i >= 60)) for i in range(1, 90)], "doc_id long, quality int, toxic int")
+    brought = []
+    in_rows = toxicity.in_rows
+    monkeypatch.setattr(toxicity, "in_rows", lambda slots: brought.append(len(slots)) or in_rows(slots))
+    one = toxicity.fit(frame(rows), lab)
+    assert max(brought) < 90
+    assert str(one) == str(toxicity.fit(frame(rows).repartition(7), lab))
+
+
+def test_mixing_merges_rows_equal_in_every_column_only(spark, frame):
+    """Copies of one row stay as many, rows that differ in a column beside the text stay apart, and a rerun gives the same order."""
+    from pyspark.sql import functions as F
+
+    from provspark.llm import mixing
+
+    same = [(None, "alpha beta gamma", "s")] * 40
+    docs = frame([*same, (1, "delta epsilon", "s"), (2, "zeta", "t"), (3, None, "t")])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") == 1, F.lit("fr")).otherwise(F.col("lang"))).unionByName(docs.filter("doc_id = 1"))
+    out = [tuple(r) for r in mixing.mixed(docs).collect()]
+    assert out == [tuple(r) for r in mixing.mixed(docs.repartition(5)).collect()]
+    n = {k: sum(r[1] == k for r in out) for k in ("alpha beta gamma", "delta epsilon", "zeta")}
+    assert n["alpha beta gamma"] >= 1 and n["zeta"] >= 1
+    assert {r[2] for r in out if r[1] == "delta epsilon"} <= {"fr", "en"} and len(out[0]) == len(docs.columns)
