@@ -99,11 +99,11 @@ from events""",
 select o_orderkey as seq, md5(cast(o_orderkey as string)) as sha, o_orderdate as timestamp,
   case o_orderkey % 10 when 0 then 'fix: tidy module ' || cast(o_custkey as string)
     when 1 then 'feat(core): use pool ' || cast(o_custkey as string) || ' because it reduces latency'
-    when 2 then 'refactor: use node:buffer instead of safe-buffer (#' || cast(o_orderkey as string) || ')'
-    when 3 then 'bump qs from 6.5.2 to 6.5.' || cast(o_custkey % 10 as string)
-    when 4 then 'chore(deps): bump body-parser to fix CVE-2024-' || cast(o_custkey as string)
+    when 2 then 'refactor: use ring:queue instead of linked-queue (#' || cast(o_orderkey as string) || ')'
+    when 3 then 'bump lz4 from 1.8.0 to 1.8.' || cast(o_custkey % 10 as string)
+    when 4 then 'chore(deps): bump codec-core to fix CVE-2031-' || cast(o_custkey as string)
     when 5 then 'Switch to batched writes so that imports finish early.'
-    when 6 then 'Update readme' when 7 then 'Prefer sqlite rather than a server for local graphs.'
+    when 6 then 'Reword guide' when 7 then 'Prefer sqlite rather than a server for local graphs.'
     when 8 then 'perf: cache tokens for performance reasons in module ' || cast(o_custkey as string) else 'docs: explain scopes' end as subject,
   case o_orderkey % 6 when 0 then '' when 1 then '- use locks because writers race
 - typo'

@@ -10,7 +10,7 @@ from provspark.functions import text
 from provspark.operators import records
 
 SENTENCES = [
-    "Use SQLite because it is embedded and needs no server", "refactor parser", "use node:buffer instead of safe-buffer (#6071)", "we do upsert instead of calling",
+    "Use Parquet because it is columnar and keeps its schema", "refactor parser", "use ring:queue instead of linked-queue (#417)", "we merge rows instead of asking",
     "Prefer a pool rather than threads in order to save memory.", "because of that", "", "  spaced   out  so that   it works ", "Switched to X to fix Y, due to Z.",
 ]
 
@@ -24,13 +24,13 @@ def test_parts_agree(spark):
 
 
 def test_split_reason():
-    assert text.parts_of_sentence(SENTENCES[0])[:2] == ("Use SQLite", "because it is embedded and needs no server")
-    assert text.parts_of_sentence("use upsert instead of calling")[2] == []  # no end of a sentence
+    assert text.parts_of_sentence(SENTENCES[0])[:2] == ("Use Parquet", "because it is columnar and keeps its schema")
+    assert text.parts_of_sentence("use merges instead of asking")[2] == []  # no end of a sentence
 
 
 @pytest.mark.parametrize(("subject", "tier", "category", "confidence"), [
-    ("chore: tidy things", "event", "design", 0.5), ("refactor: use node:buffer instead of safe-buffer (#6071)", "decision", "design", 0.6),
-    ("bump qs from 6.5.2 to 6.5.3", "event", "dependency", 0.5), ("build(deps): bump qs from 1 to 2 to fix CVE-2026-12590", "decision", "dependency", 0.65),
+    ("chore: sort imports", "event", "design", 0.5), ("refactor: use ring:queue instead of linked-queue (#417)", "decision", "design", 0.6),
+    ("bump lz4 from 1.8.0 to 1.8.1", "event", "dependency", 0.5), ("build(deps): bump lz4 from 1 to 2 to fix CVE-2031-00417", "decision", "dependency", 0.65),
 ])
 def test_commit_subjects(subject, tier, category, confidence):
     (r,) = plain_records.of_commit(subject, "commit abc")
@@ -38,37 +38,37 @@ def test_commit_subjects(subject, tier, category, confidence):
 
 
 def test_subject_content_and_alternative():
-    (r,) = plain_records.of_commit("refactor: use node:buffer instead of safe-buffer (#6071)", "commit abc")
-    assert (r["content"], r["alternatives"]) == ("Use node:buffer", ["safe-buffer (#6071)"])
+    (r,) = plain_records.of_commit("refactor: use ring:queue instead of linked-queue (#417)", "commit abc")
+    assert (r["content"], r["alternatives"]) == ("Use ring:queue", ["linked-queue (#417)"])
 
 
 def test_commit_body():
-    found = plain_records.of_commit("x\n\n- use locks because writers race\n- typo", "commit abc")
+    found = plain_records.of_commit("y\n\n- keep turns because readers starve\n- comma", "commit abc")
     assert [(r["confidence"], r["tier"]) for r in found] == [(0.5, "event"), (0.7, "decision")]
 
 
 def test_unwrap():
-    said = "We want it because it\nwill work.\n\n- one\n  more\n- two"
-    assert text.unwrap(said) == "We want it because it will work.\n\n- one more\n\n- two"
+    said = "Rows stay because they\nare few.\n\n- first\n  part\n- second"
+    assert text.unwrap(said) == "Rows stay because they are few.\n\n- first part\n\n- second"
 
 
-@pytest.mark.parametrize(("raw", "clean"), [("avoid errors (e.g.", "avoid errors"), ("use a pool and the", "use a pool"), ("keep (this) one", "keep (this) one"), ("", ""), (None, "")])
+@pytest.mark.parametrize(("raw", "clean"), [("save a pass (e.g.", "save a pass"), ("take a lease and the", "take a lease"), ("hold (any) row", "hold (any) row"), ("", ""), (None, "")])
 def test_clean_clause(raw, clean):
     assert text.clean_clause(raw) == clean
 
 
-@pytest.mark.parametrize(("raw", "content"), [("Changed: use pools", "Use pools"), ("Version 3.2.0: use pools", "Version 3.2.0: use pools"), ("demo.html moves", "demo.html moves"), ("🚀 Improvements: drop x", "Drop x"), ("--file is gone", "--file is gone")])
+@pytest.mark.parametrize(("raw", "content"), [("Changed: take leases", "Take leases"), ("Version 7.1: take leases", "Version 7.1: take leases"), ("plan.sql goes", "plan.sql goes"), ("✨ Improvements: merge y", "Merge y"), ("--rows is new", "--rows is new")])
 def test_polish(raw, content):
     assert text.polish(raw) == content
 
 
-@pytest.mark.parametrize(("said", "usable"), [("now bracket the range", False), ("Update", False), ("use sqlite", True), ("same run", False), ("Fix CVE", True), (None, False)])
+@pytest.mark.parametrize(("said", "usable"), [("now sort the keys", False), ("Refresh", False), ("use parquet", True), ("same row", False), ("Fix GC", True), (None, False)])
 def test_usable(said, usable):
     assert text.is_usable(said) is usable
 
 
 def test_fingerprint():
-    assert text.fingerprint(" Use  SQLITE ") == text.fingerprint("use sqlite")
+    assert text.fingerprint(" Keep  PARQUET ") == text.fingerprint("keep parquet")
     assert len(text.fingerprint(None)) == 8
 
 
@@ -79,8 +79,8 @@ def test_adr():
 
 
 def test_changelog():
-    said = "Version 3.0\n-----------\n\n-   Use ``redirect`` because it\n    is simpler.\n-   short\n\n## 2.0\n* drop y to avoid z\n"
-    assert records.changelog_items(said) == [("Version 3.0", "Use ``redirect`` because it is simpler."), ("2.0", "drop y to avoid z")]
+    said = "Version 3.0\n-----------\n\n-   Keep ``lease`` because it\n    is shorter.\n-   short\n\n## 2.0\n* drop y to avoid z\n"
+    assert records.changelog_items(said) == [("Version 3.0", "Keep ``lease`` because it is shorter."), ("2.0", "drop y to avoid z")]
     assert records.changelog_items("* use a pool now\nloose\n  and rest\n\n  not this\n") == [("Changelog", "use a pool now and rest")]
     assert records.changelog_items("* above the heading\n\n# 1.0\n+ kept because of it\n") == [("1.0", "kept because of it")]
     assert [r["tier"] for r in plain_records.of_changelog(said, "CHANGES.rst")] == ["decision", "decision"]
