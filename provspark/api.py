@@ -9,6 +9,7 @@ import argparse
 import json
 import re
 import sys
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 from pathlib import Path
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from provspark import schema
 from provspark.functions import paths, text
 from provspark.operators import bind, conflicts, graph, lookup, records, reports, store, temporal
-from provspark.session import local_session, ship
+from provspark.session import drop_folder, local_session, shared_dir, ship
 from provspark.sources import enrichment, files, git, parsers
 from provspark.streaming import incremental
 
@@ -50,13 +51,26 @@ class Engine:
 
         ask: a language model that is asked about messages in which the rules find no reason, by `jobs` tasks at a time (`enrichment`).
         """
+        self._scratch = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        try:
+            return self._index(repo, depth, full, ask, jobs)
+        finally:
+            drop_folder(self.spark, self._scratch)
+
+    def _held(self, df: DataFrame, name: str) -> DataFrame:
+        """df written to the shared folder and read again, so that what follows is planned from files; they go when indexing ends."""
+        path = f"{self._scratch}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _index(self, repo: str, depth: int | None, full: bool, ask: Callable[[str], str] | None, jobs: int) -> dict:
         self.store.begin()
         state = {} if full else self.store.checkpoint()
         nodes = self._t("nodes")
         if not state or store.needs_rebuild(nodes, state.get("node_count", 0)):
             state = {}
         try:
-            commits = git.commits(self.spark, repo, depth).cache()
+            commits = self._held(git.commits(self.spark, repo, depth), "commits")
             head = git.run_git(repo, "rev-parse", "HEAD").strip()
         except ValueError:
             commits, head = None, ""
@@ -64,7 +78,7 @@ class Engine:
             parsed, calls, versions = self._tree(repo)
             found, n_commits = versions, 0
         else:
-            fresh = incremental.pending(commits, state.get("head")).cache()
+            fresh = self._held(incremental.pending(commits, state.get("head")), "fresh")
             n_commits = fresh.count()
             parsed, calls, found = self._history(repo, fresh, nodes if state else None)
         edges = self._edges(found, calls)
@@ -72,11 +86,11 @@ class Engine:
             stored = nodes.join(found.select("uid"), "uid", "left_anti").withColumn("seq", F.lit(0).cast("long"))
             found = stored.unionByName(found.select(*stored.columns))
             edges = self._t("edges").unionByName(edges)
-        found = store.repaired(store.merge_by_uid(found)).cache()
+        found = self._held(store.repaired(store.merge_by_uid(found)), "nodes")
         # An incremental run reads the new commits and all documents; what is stored of anything else stays as it is.
         read = fresh if state else commits
         documents = self._documents(repo)
-        decisions = self._decisions(read, documents, ask, jobs).cache()
+        decisions = self._held(self._decisions(read, documents, ask, jobs), "decisions")
         links = self._links(repo, read, decisions, found, documents)
         if state:
             fresh_uids = decisions.select(F.col("uid").alias("decision_uid")).distinct()
@@ -89,8 +103,8 @@ class Engine:
         return {"root": repo, "commits": n_commits, "nodes": counts["nodes"], "edges": counts["edges"], "decisions": counts["decisions"]}
 
     def _tree(self, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        tree = files.working_tree(self.spark, root).cache()
-        parsed = parsers.parse_files(tree)
+        tree = self._held(files.working_tree(self.spark, root), "tree")
+        parsed = self._held(parsers.parse_files(tree), "parsed")
         nodes = parsed.withColumns({"valid_from": F.current_timestamp(), "valid_to": F.lit(None).cast("timestamp"), "commit_sha": F.lit("WORKTREE")})
         return parsed, parsers.calls_of(tree), nodes
 
@@ -99,8 +113,8 @@ class Engine:
         order = (F.lit(top) - F.col("seq")).cast("long")
         touched = commits.select(order.alias("seq"), "sha", F.col("timestamp").alias("ts"), F.explode("changed_files").alias("raw")).withColumn("file_path", paths.normal(F.col("raw"))).drop("raw").distinct()
         wanted = touched.filter(parsers.language_of(F.col("file_path")).isNotNull() & ~paths.is_skipped(F.col("file_path")))
-        snaps = git.snapshots(wanted, repo).cache()
-        parsed = parsers.parse_files(snaps).cache()
+        snaps = self._held(git.snapshots(wanted, repo), "snapshots")
+        parsed = self._held(parsers.parse_files(snaps), "parsed")
         calls = parsers.calls_of(snaps)
         stamps = snaps.select("file_path", "seq", "sha", F.unix_micros("ts").alias("ts"))
         events = parsed.join(stamps, ["file_path", "seq"]).select("file_path", "name", "seq", "ordinal", "ts", "sha", "line_start", "line_end", "text_hash", F.lit(False).alias("gone"))
@@ -126,7 +140,7 @@ class Engine:
             shut = versions.filter("seq < 0 and valid_to is not null").select("file_path", "name", F.timestamp_micros("valid_to").alias("shut"))
             closed = open_.join(shut, ["file_path", "name"]).withColumn("valid_to", F.col("shut")).withColumn("seq", F.lit(-1).cast("long"))
             opened = opened.unionByName(closed.select(*opened.columns))
-        return parsed, calls, opened.cache()
+        return parsed, calls, self._held(opened, "versions")
 
     def _edges(self, nodes: DataFrame, calls: DataFrame) -> DataFrame:
         """Edges of the versions opened at each commit; callees are those that hold at that commit's time."""

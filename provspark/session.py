@@ -36,6 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Gives executors this package once a session, so that Python stages find it wherever they run."""
     app = spark.sparkContext.applicationId
