@@ -28,6 +28,7 @@ from provspark.llm.common import in_arrow
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTION = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 #: How a pre-token of a kind goes on.
 MORE = {"letters": r"\p{L}*", "digits": r"\p{N}*", "space": r"\s*", "others": r"[^\s\p{L}\p{N}]*"}
 #: Characters that are pushed at once.
@@ -215,7 +216,7 @@ class Encoder:
                 at -= len(open_)
         out.extend(map(of.steps.__getitem__, found))
         pos += sum(map(len, found))
-        if open_ is None or pos >= settled:
+        if open_ is None or pos >= settled or CONTRACTION.fullmatch(open_):  # a contraction never goes on: it waits until its end is settled
             return pos
         end = open_[-1]
         self.kind = "letters" if of.more["letters"].fullmatch(end) else "digits" if of.more["digits"].fullmatch(end) else "space" if end.isspace() and of.more["space"].fullmatch(end) else "others"

@@ -72,6 +72,19 @@ def test_borders_in_any_chunks(ours, library, parts, seed):
     assert chunked(ours, text, [1, 2, 3, 5], random.Random(seed))[0] == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("said", ["'re", "'s", "'ll", "'t", "'re'", "'rex", " 're", "''re", "a're"])
+def test_contractions_at_every_border(ours, library, said):
+    """A contraction that lies across the place up to which borders are settled, at any chunk size, and at the chunks that texts come in."""
+    for n in range(16):
+        text = "x " * n + said + "don'tdon't and more of it"
+        want = library.encode(text, add_special_tokens=False).ids
+        for size in range(1, 16):
+            assert chunked(ours, text, [size], random.Random(0))[0] == want, (text, size)
+    for n in range(-30, 4):
+        text = "y" * (bpe.CHUNK + n) + said + "don't so on and on and on"
+        assert ids(ours, text) == library.encode(text, add_special_tokens=False).ids, n
+
+
 def test_all_bytes_go_through_the_window(ours, monkeypatch):
     """Without the table of steps, each byte of a text is pushed into a window once."""
     seen = []
