@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from provspark.functions import tables
 from provspark.operators import bind, contains

@@ -49,22 +49,22 @@ def test_commit_body():
 
 def test_unwrap():
     said = "Rows stay because they\nare few.\n\n- first\n  part\n- second"
-    assert text.unwrap(said) == "Rows stay because they are few.\n\n- first part\n\n- second"
+    assert plain_records.unwrap(said) == "Rows stay because they are few.\n\n- first part\n\n- second"
 
 
 @pytest.mark.parametrize(("raw", "clean"), [("save a pass (e.g.", "save a pass"), ("take a lease and the", "take a lease"), ("hold (any) row", "hold (any) row"), ("", ""), (None, "")])
 def test_clean_clause(raw, clean):
-    assert text.clean_clause(raw) == clean
+    assert plain_records.clean_clause(raw) == clean
 
 
 @pytest.mark.parametrize(("raw", "content"), [("Changed: take leases", "Take leases"), ("Version 7.1: take leases", "Version 7.1: take leases"), ("plan.sql goes", "plan.sql goes"), ("✨ Improvements: merge y", "Merge y"), ("--rows is new", "--rows is new")])
 def test_polish(raw, content):
-    assert text.polish(raw) == content
+    assert plain_records.polish(raw) == content
 
 
 @pytest.mark.parametrize(("said", "usable"), [("now sort the keys", False), ("Refresh", False), ("use parquet", True), ("same row", False), ("Fix GC", True), (None, False)])
 def test_usable(said, usable):
-    assert text.is_usable(said) is usable
+    assert plain_records.is_usable(said) is usable
 
 
 def test_fingerprint():
@@ -108,7 +108,7 @@ def test_columns_say_what_the_functions_say(spark):
     df = spark.createDataFrame(rows, "i long, said string").select("i", text.clean_clause_column(F.col("said")).alias("c"), text.polish_column(F.col("said")).alias("p"), text.usable_column(F.col("said")).alias("u"))
     got = {r["i"]: (r["c"], r["p"], r["u"]) for r in df.collect()}
     for i, said in rows:
-        assert got[i] == (text.clean_clause(said), text.polish(said), text.is_usable(said)), said
+        assert got[i] == (plain_records.clean_clause(said), plain_records.polish(said), plain_records.is_usable(said)), said
         left = " ".join((said or "").split())
         while left.count("(") > left.count(")"):
             left = left[: left.rfind("(")]
