@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from provspark.operators import lookup
 
+#: Edges that one deal of a callee's name makes.
+PAIRS = 2_000_000
+
 
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """For each child with a stored parent, `contains` down and `defined_by` up, at the child's first line."""
@@ -19,22 +21,36 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 
 
 def callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The tightest symbol of the caller's name about each call; calls outside any are dropped. calls: (call, caller, callee, file_path, line)."""
-    n = nodes.select(F.col("uid").alias("from_uid"), F.col("name").alias("caller"), "file_path", "line_start", "line_end")
-    met = lookup.about_lines(calls, n, ["caller", "file_path"])
-    w = Window.partitionBy("call").orderBy(F.col("line_end") - F.col("line_start"), "from_uid")
-    return met.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("call", "from_uid", "callee", "file_path", "line")
+    """The tightest symbol of the caller's name about each call; calls outside any are dropped. calls: (call, caller, callee, file_path, line).
+
+    Calls of one place have one answer, and of symbols of one name and stretch only the first can be it: places and stretches meet, each once.
+    """
+    at = ["caller", "file_path", "line"]
+    spans = nodes.groupBy(F.col("name").alias("caller"), "file_path", "line_start", "line_end").agg(F.min("uid").alias("from_uid"))
+    met = lookup.about_lines(calls.select(*at).distinct(), spans, ["caller", "file_path"])
+    best = met.groupBy(*at).agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "from_uid")).alias("best"))
+    return calls.join(best, at).select("call", F.col("best.from_uid").alias("from_uid"), "callee", "file_path", "line")
+
+
+def _all_with_all(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """a joined with b. A key is dealt by the pairs it makes: its rows of a to one deal each, those of b to every deal, and no deal makes many more than PAIRS. Tasks are not merged by what they read, which is little beside what they write."""
+    pairs = F.ceil(F.col("_a") * F.col("_b") / PAIRS)
+    sizes = a.groupBy(*on).agg(F.count("*").alias("_a")).join(b.groupBy(*on).agg(F.count("*").alias("_b")), on).select(*on, F.least("_a", pairs).cast("int").alias("_deals"))
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = a.join(sizes, on).withColumn("_deal", F.pmod(F.xxhash64(*a.columns), "_deals").cast("int")).drop("_deals")
+    every = b.join(sizes, on).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
+    return dealt.repartition(tasks, *on, "_deal").join(every.repartition(tasks, *on, "_deal"), [*on, "_deal"]).drop("_deal")
 
 
 def call_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`uses` from each call's symbol to the symbols of the callee's name: those of its own file where there are any, else all."""
+    """`uses` from each call's symbol to the symbols of the callee's name: those of its own file where there are any, else all. A uid has one name, so no edge is met twice."""
     found = callers(calls, nodes).select("from_uid", "callee", "file_path", "line").distinct()
-    to = nodes.select(F.col("uid").alias("to_uid"), F.col("name").alias("callee"), "file_path")
+    to = nodes.select(F.col("uid").alias("to_uid"), F.col("name").alias("callee"), "file_path").distinct()
     # A call with a namesake in its file meets those of that file alone; only the others meet all of the name.
-    local = found.join(to, ["callee", "file_path"])
-    abroad = found.join(to.select("callee", "file_path"), ["callee", "file_path"], "left_anti").join(to.drop("file_path"), "callee")
+    local = _all_with_all(found, to, ["callee", "file_path"])
+    abroad = _all_with_all(found.join(to.select("callee", "file_path").distinct(), ["callee", "file_path"], "left_anti"), to.drop("file_path").distinct(), ["callee"])
     cols = ["from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line"]
-    return local.select(*cols).unionByName(abroad.select(*cols)).filter("from_uid <> to_uid").distinct()
+    return local.select(*cols).unionByName(abroad.select(*cols)).filter("from_uid <> to_uid")
 
 
 def edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
