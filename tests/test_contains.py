@@ -22,6 +22,16 @@ def test_every_key_in_every_text(spark, monkeypatch, keys_a_part, texts_a_task):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_a_text_gives_no_row_for_what_other_keys_share(spark, monkeypatch):
+    """However many keys begin alike, a text gives a row for each place and length that a key may have: here one of its own, besides the short key."""
+    monkeypatch.setattr(contains, "KEYS", 7)
+    keys = spark.createDataFrame([(f"supersede d{k}",) for k in range(1000, 1400)] + [("d1",)], "key string")
+    texts = spark.createDataFrame([((f"c{k}", k), f"we supersede d{k} by 取代") for k in range(900, 1100)], "id struct<uid:string,seq:long>, text string")
+    found = [(r["id"]["seq"], r["key"]) for r in contains.pieces(texts, keys).collect()]
+    assert len(found) == len(set(found)) <= 2 * 200
+    assert {(k, f"supersede d{k}") for k in range(1000, 1100)} <= set(found) and {(r["id"]["seq"], r["key"]) for r in contains.hits(texts, keys).collect()} == {(k, key) for k in range(1000, 1100) for key in (f"supersede d{k}", "d1")}
+
+
 def test_no_keys_or_texts(spark):
     some, none = spark.createDataFrame([(1, "ab")], "id long, text string"), spark.createDataFrame([], "id long, text string")
     keys = spark.createDataFrame([("a",)], "key string")
