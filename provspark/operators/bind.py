@@ -35,10 +35,12 @@ def changed_lines(patches: DataFrame) -> DataFrame:
 def bind_changed(changed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(decision_uid, node_uid, file_path, line): each changed line with the tightest version about it, whenever that held. changed: (decision_uid, file_path, line)."""
     total = Window.partitionBy("decision_uid")
-    n = nodes.select("file_path", F.col("uid").alias("node_uid"), "line_start", "line_end")
-    met = lookup.about_lines(changed.withColumn("changed", F.count("*").over(total)), n, "file_path")
-    w = Window.partitionBy("decision_uid", "file_path", "line").orderBy(F.col("line_end") - F.col("line_start"), "node_uid")
-    best = met.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    each = changed.repartition("decision_uid").groupBy("decision_uid", "file_path", "line").agg(F.count("*").alias("_n")).withColumn("changed", F.sum("_n").over(total)).drop("_n")
+    # The tightest version hangs on file and line alone: each changed line asks once, and of spans with the same lines one answers.
+    spans = nodes.groupBy("file_path", "line_start", "line_end").agg(F.min("uid").alias("node_uid"))
+    met = lookup.about_lines(changed.select("file_path", "line").distinct(), spans, "file_path")
+    tightest = met.groupBy("file_path", "line").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("size"), "node_uid"))["node_uid"].alias("node_uid"))
+    best = each.join(tightest, ["file_path", "line"])
     # A huge change binds only the first lines of each file that lie in symbols.
     nth = F.row_number().over(Window.partitionBy("decision_uid", "file_path").orderBy("line"))
     return best.withColumn("_k", nth).filter((F.col("changed") <= MOST_CHANGED) | (F.col("_k") <= MOST_PER_FILE_WHEN_HUGE)).select("decision_uid", "node_uid", "file_path", "line")
