@@ -5,16 +5,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from provspark.functions import text
-from provspark.operators import records
-
-_HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@")
+from provspark.operators import bind, records
 
 
 @udtf(returnType="line int")
@@ -22,15 +19,7 @@ class ChangedLines:
     """Numbers, in the new file, of the lines that a patch of one file adds; a null patch has none."""
 
     def eval(self, patch: str) -> Iterator[tuple[int]]:
-        at, told = None, set()
-        for line in (patch or "").split("\n"):
-            if m := _HUNK.match(line):
-                at = int(m[1])
-            elif at is not None and not line.startswith("\\") and (not line.startswith("-") or line.startswith("---")):
-                if line.startswith("+") and not line.startswith("+++") and at not in told:
-                    told.add(at)
-                    yield (at,)
-                at += 1
+        yield from ((line,) for line in bind.lines_added(patch))
 
 
 @udtf(returnType="nth int, sentence string")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,23 +17,43 @@ from provspark.operators import lookup
 MOST_CHANGED, MOST_PER_FILE_WHEN_HUGE = 1000, 200
 MOST_FILES, MOST_LINES = 10, 250
 GOVERNED_FILES, GOVERNED_NODES_PER_FILE, GOVERNED_NODES, NAME_FILES = 12, 60, 200, 3
+_HUNK = re.compile(r"@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@")
+
+
+def lines_added(patch: str | None) -> list[int]:
+    """New-file numbers of the lines that a patch of one file adds, each once; a null patch has none."""
+    at, told = None, {}
+    for line in (patch or "").split("\n"):
+        if m := _HUNK.match(line):
+            at = int(m[1])
+        elif at is not None and not line.startswith("\\") and (not line.startswith("-") or line.startswith("---")):
+            if line.startswith("+") and not line.startswith("+++"):
+                told[at] = None
+            at += 1
+    return list(told)
 
 
 def changed_lines(patches: DataFrame) -> DataFrame:
     """(id, line): new-file numbers of the lines a unified diff adds. patches: (id, patch).
 
     A hunk header sets the counter; added and context lines move it, removed lines and `\\` notes don't. Lines that begin with +++ or --- count as context.
+    A patch is read where it lies; only numbers are shuffled, for ids that have several patches.
     """
-    lines = patches.select("id", F.posexplode(F.split("patch", "\n")).alias("pos", "line"))
-    start = F.regexp_extract("line", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
-    header = start != ""
-    added = F.col("line").startswith("+") & ~F.col("line").startswith("+++")
-    still = (F.col("line").startswith("-") & ~F.col("line").startswith("---")) | F.col("line").startswith("\\")
-    w = Window.partitionBy("id").orderBy("pos")
-    marked = lines.withColumn("hunk", F.sum(header.cast("int")).over(w)).withColumn("start", F.when(header, start.cast("int"))).withColumn("moves", (~header & ~still).cast("int")).withColumn("added", added & ~header)
-    inside = Window.partitionBy("id", "hunk").orderBy("pos")
-    number = F.first("start").over(inside) + F.coalesce(F.sum("moves").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("number", number).filter("hunk > 0 and added").select("id", F.col("number").cast("int").alias("line")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, found = [], []
+            for at, patch in enumerate(b.column("patch").to_pylist()):
+                own = lines_added(patch)
+                of += [at] * len(own)
+                found += own
+                if len(found) > 50_000:
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(of, pa.int64())), pa.array(found, pa.int32())], ["id", "line"])
+                    of, found = [], []
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(of, pa.int64())), pa.array(found, pa.int32())], ["id", "line"])
+
+    # Dealt by id first, so that no task gathers what it has read of all ids before it hands it on.
+    return patches.select("id", "patch").mapInArrow(work, f"id {patches.schema['id'].dataType.simpleString()}, line int").repartition("id").distinct()
 
 
 def bind_changed(changed: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -27,3 +27,13 @@ def test_a_huge_change_counts_its_lines_and_keeps_the_first(spark, monkeypatch):
     changed = spark.createDataFrame([("huge", "a.py", k) for k in (1, 3, 4, 5, 6)] + [("four", "a.py", k) for k in (3, 4, 5, 6)], "decision_uid string, file_path string, line int")
     got = {(r["decision_uid"], r["line"]) for r in bind.bind_changed(changed, nodes).collect()}
     assert got == {("huge", 3), ("huge", 4), *(("four", k) for k in (3, 4, 5, 6))}
+
+
+def test_a_patch_is_read_where_it_lies(spark):
+    """No row for a line and no sort of all lines by their patch; ids that have several patches tell each line once."""
+    patch = "+early\n@@ -1,2 +7,3 @@ f\n same\n+new\n-old\n--- a\n+++ b\n\\ No newline\n+more\n@@ -9 +8 @@\n+again"
+    patches = spark.createDataFrame([("a", patch), ("a", patch), ("a", "@@ -1 +2 @@\n+x"), (None, "@@ -1 +2 @@\n+x"), ("b", None), ("c", "")], "id string, patch string")
+    got = bind.changed_lines(patches)
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 11), ("a", 2), ("a", 8), (None, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
