@@ -114,6 +114,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_few_edges_do_not_shuffle(spark, monkeypatch, few):
+    """A loop over a few edges costs no shuffle a step, and both ways give the same."""
+    from provspark.llm import common
+
+    plans, write = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 400 if few else 399)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(200)]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: 0 if n <= 200 else 1000 for link in links for n in link}
+    steps = [p for name, p in plans if name != "edges"]
+    assert len(steps) >= 4 and any("Exchange hashpartitioning" in p for p in steps) != few
+
+
+
 def brute_vectors(rows, least=0.9):
     ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = []
