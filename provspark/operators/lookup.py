@@ -99,7 +99,10 @@ def cascade(probes: DataFrame, nodes: DataFrame, decisions: DataFrame, links: Da
     """
     d = decisions.select("uid", "timestamp", "file_path", "line", "source_ref")
     stood = links.filter("line is not null").select(F.col("decision_uid").alias("uid"), "file_path", "line").join(d.select("uid", "timestamp"), "uid")
-    linked = _newest_of(stood.groupBy("file_path", "line", "uid", "timestamp").agg(F.count("*").alias("n")), ["file_path", "line"], max(limits[:2]))
+    # Links hardly repeat, so counting them before the shuffle would only hold all of a split in one map.
+    n_links = links.count()
+    dealt = sweep.dealt(stood, n_links, "file_path", "line", "uid")
+    linked = _newest_of(dealt.groupBy("file_path", "line", "uid", "timestamp").agg(F.count("*").alias("n")), ["file_path", "line"], max(limits[:2]))
     made = _newest_of(d, ["file_path", "line"], max(limits[2:4]))
     live = nodes.filter(paths.is_live()).select("file_path", F.col("line_start").alias("line"), F.col("line_end").alias("stop"), F.col("valid_from").alias("timestamp"), "uid").filter("stop >= line")
     rows = [
@@ -111,7 +114,7 @@ def cascade(probes: DataFrame, nodes: DataFrame, decisions: DataFrame, links: Da
     every = wide[0]
     for w in wide[1:]:
         every = every.unionByName(w)
-    found = sweep.answers(every.filter("file_path is not null"), limits)
+    found = sweep.answers(every.filter("file_path is not null"), limits, n_links + nodes.count() + decisions.count() + probes.count())
 
     at = F.coalesce("line", F.lit(-1))
     folder = F.when(F.col("file_path").contains("/"), F.regexp_replace("file_path", r"/[^/]*$", ""))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 SPAN, LINK, DECISION, ASK = range(4)
 ROWS = "file_path string, line int, kind int, stop int, stamp timestamp, uid string, n long"
 ANSWERS = "file_path string, line int, k int, uids array<string>"
+#: Rows that one task sorts, on average, before rows are dealt to more tasks.
+ROWS_A_TASK = 1 << 19
 
 Item = tuple[bool, int, str]
 """Sorts newest first, without a time last, then by uid."""
@@ -95,11 +97,17 @@ def of_file(rows: Iterator[tuple], limits: tuple[int, ...]) -> Iterator[tuple[in
         yield line, k, [] if k is None else levels[k]
 
 
-def answers(rows: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows, at most n, dealt by the keys: to more tasks than the session has it where these would get over ROWS_A_TASK each."""
+    tasks = -(-n // ROWS_A_TASK)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
+def answers(rows: DataFrame, limits: tuple[int, ...], n: int = 0) -> DataFrame:
     """(file_path, line, k, uids) for each ASK among rows: the first level with an answer (0 the symbol's links, 1 the line's, 2 decisions on the line, 3 in the file), none if there is none.
 
     rows: as ROWS, one shuffle by file; links (n: how often it stands there) and decisions already cut to the newest few of their line, asked lines and spans without
-    repeats. So what a file holds, however hot, is in proportion to its lines.
+    repeats. So what a file holds, however hot, is in proportion to its lines. n: how many rows there may be.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +123,7 @@ def answers(rows: DataFrame, limits: tuple[int, ...]) -> DataFrame:
                 out = []
         yield _batch(out)
 
-    return rows.repartition("file_path").sortWithinPartitions("file_path", "line", "kind").mapInArrow(work, ANSWERS)
+    return dealt(rows, n, "file_path").sortWithinPartitions("file_path", "line", "kind").mapInArrow(work, ANSWERS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,6 +1,9 @@
 """Work that costs more than reading is dealt out, however few parts its table comes in."""
 
-from provspark.operators import records
+from helpers import DATA
+
+from provspark.operators import lookup, records, sweep
+from provspark.plans.lenses import Lenses
 from provspark.sources import parsers
 
 
@@ -16,3 +19,17 @@ def test_changelogs_are_dealt_before_they_are_read(spark):
     found = records.from_documents(spark.createDataFrame([(k, "CHANGES.rst", said) for k in range(80)], "seq long, file_path string, text string").coalesce(1), "changelog")
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r["seq"], *r["alternatives"]) for r in found.collect()) == [(k, "threads") for k in range(80)]
+
+
+def test_rows_of_the_cascade_are_dealt_by_their_number(spark, monkeypatch):
+    """Whatever the session's number of tasks, no task gets more and more links and lines to sort; answers stay the same."""
+    v = Lenses(spark, DATA)
+    answers = lambda: lookup.cascade(v.probes, v.nodes, v.decisions, v.links)
+    want = sorted(answers().collect())
+    monkeypatch.setattr(sweep, "ROWS_A_TASK", 500)
+    many = answers()
+    n = v.links.count()
+    tasks = [-(-k // 500) for k in (n, n + v.nodes.count() + v.decisions.count() + v.probes.count())]
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert all(f", {k}), REPARTITION_BY_NUM" in plan for k in tasks)
+    assert sorted(many.collect()) == want
