@@ -10,6 +10,7 @@ import pytest
 from helpers import DATA, plain
 
 from jobs import line_provenance, registry, symbol_history
+from provspark.functions import text
 from provspark.operators import temporal
 from provspark.streaming import incremental
 
@@ -61,6 +62,24 @@ def test_lines_of_odd_documents_and_a_rerun(spark, tmp_path, caplog):
     assert register(line_provenance.run(spark, src, out)) == lines_by_hand(rows)
 
 
+@pytest.mark.parametrize("repeat", [False, True])
+def test_lines_are_shuffled_by_their_documents_only_where_ids_repeat(spark, repeat):
+    rows = [r for r in SAID if repeat or r[0] != 2] + [(11, "b. a. b.\n- a\nb", "a"), (11, "b", "b"), (None, "b", "a"), (None, "b.", "a")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], DOCS)
+    assert line_provenance.ids_repeat(docs) == repeat
+    found = line_provenance.lines(docs, 1, line_provenance.ids_repeat(docs))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 + repeat
+    assert register(found) == lines_by_hand(rows)
+
+
+def test_only_lines_with_a_keyword_are_searched_for_markers(spark):
+    said = ["Use pools because they are cheap.", "Keep it small.", "BECAUSE", "x" * 500, "we chose lists"]
+    parted = line_provenance.decided(spark.createDataFrame([(s,) for s in said], "line string"))
+    assert {r["line"]: r["p"] is not None for r in parted.collect()} == {s: text.says_decision(s) for s in said}
+    got = {r["line"]: (r["content"], r["reason"], r["alternatives"]) for r in line_provenance.in_columns(parted).collect()}
+    assert got == {s: text.parts_of_sentence(s) for s in said}
+
+
 def test_sources_that_are_not_read_keep_their_lines(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for rows in ([(1, "old a", "a", 1), (2, "old b", "b", 1)], [(1, "new a", "a", 1), (3, "newer a", "a", 1)]):

@@ -23,6 +23,20 @@ def test_parts_agree(spark):
         assert r["d"] == text.says_decision(r["s"])
 
 
+def test_texts_without_a_keyword_have_no_marker():
+    assert all(any(k in m for k in text.KEYWORDS_LEAST) for m in (*text.KEYWORDS, *text.REASON_MARKERS, *text.ALTERNATIVE_MARKERS))
+
+
+def test_sentences_end_where_the_plain_pattern_ends_them(spark):
+    r = random.Random(3)
+    said = ["".join(r.choice([*text.WHITE, "\n", *".!?-*+", "a", "é", "  "]) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    t = spark.createDataFrame([(s,) for s in said], "s string")
+    parts = F.transform(F.split("s", r"(?<=[.!?])\s+|\n+"), lambda p: F.trim(F.regexp_replace(p, r"^\s*[-*+]\s+", "")))
+    plain = F.filter(parts, lambda p: p != "")
+    assert t.filter(text.sentences(F.col("s")) != plain).count() == 0
+    assert t.filter(F.transform(F.array("s"), text.collapsed_value)[0] != text.collapsed(F.col("s"))).count() == 0
+
+
 def test_split_reason():
     assert text.parts_of_sentence(SENTENCES[0])[:2] == ("Use Parquet", "because it is columnar and keeps its schema")
     assert text.parts_of_sentence("use merges instead of asking")[2] == []  # no end of a sentence
