@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from provspark.functions import paths, text
 from provspark.operators import lookup
 
-# How much a decision may bind to.
+# How much a decision may bind to in the index.
 MOST_CHANGED, MOST_PER_FILE_WHEN_HUGE = 1000, 200
 MOST_FILES, MOST_LINES = 10, 250
 GOVERNED_FILES, GOVERNED_NODES_PER_FILE, GOVERNED_NODES, NAME_FILES = 12, 60, 200, 3
@@ -56,18 +56,22 @@ def changed_lines(patches: DataFrame) -> DataFrame:
     return patches.select("id", "patch").mapInArrow(work, f"id {patches.schema['id'].dataType.simpleString()}, line int").repartition("id").distinct()
 
 
-def bind_changed(changed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(decision_uid, node_uid, file_path, line): each changed line with the tightest version about it, whenever that held. changed: (decision_uid, file_path, line)."""
-    total = Window.partitionBy("decision_uid")
-    each = changed.repartition("decision_uid").groupBy("decision_uid", "file_path", "line").agg(F.count("*").alias("_n")).withColumn("changed", F.sum("_n").over(total)).drop("_n")
+def bind_lines(changed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(decision_uid, node_uid, file_path, line): every changed line with the tightest version about it, whenever that held, however many a decision has. changed: (decision_uid, file_path, line)."""
     # The tightest version hangs on file and line alone: each changed line asks once, and of spans with the same lines one answers.
     spans = nodes.groupBy("file_path", "line_start", "line_end").agg(F.min("uid").alias("node_uid"))
     met = lookup.about_lines(changed.select("file_path", "line").distinct(), spans, "file_path")
     tightest = met.groupBy("file_path", "line").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("size"), "node_uid"))["node_uid"].alias("node_uid"))
-    best = each.join(tightest, ["file_path", "line"])
-    # A huge change binds only the first lines of each file that lie in symbols.
+    each = changed.select("decision_uid", "file_path", "line").repartition("decision_uid").distinct()
+    return each.join(tightest, ["file_path", "line"]).select("decision_uid", "node_uid", "file_path", "line")
+
+
+def bind_changed(changed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bind_lines as the index keeps it: a huge change binds only the first lines of each file that lie in symbols."""
+    huge = changed.select("decision_uid", "file_path", "line").distinct().groupBy("decision_uid").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_CHANGED).select("decision_uid", F.lit(True).alias("huge"))
     nth = F.row_number().over(Window.partitionBy("decision_uid", "file_path").orderBy("line"))
-    return best.withColumn("_k", nth).filter((F.col("changed") <= MOST_CHANGED) | (F.col("_k") <= MOST_PER_FILE_WHEN_HUGE)).select("decision_uid", "node_uid", "file_path", "line")
+    bound = bind_lines(changed, nodes).join(huge, "decision_uid", "left").withColumn("_k", nth)
+    return bound.filter(F.col("huge").isNull() | (F.col("_k") <= MOST_PER_FILE_WHEN_HUGE)).select("decision_uid", "node_uid", "file_path", "line")
 
 
 def capped(links: DataFrame, max_files: int = MOST_FILES, max_lines: int = MOST_LINES) -> DataFrame:
@@ -79,7 +83,7 @@ def capped(links: DataFrame, max_files: int = MOST_FILES, max_lines: int = MOST_
 def bind_own_line(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Decisions without a commit bind to the symbol about their own line."""
     own = decisions.filter((text.sha_of(F.col("source_ref")) == "") & (F.col("file_path") != "") & F.col("line").isNotNull()).select(F.col("uid").alias("decision_uid"), "file_path", "line")
-    return bind_changed(own, nodes)
+    return bind_lines(own, nodes)
 
 
 def bind_governed(prose: DataFrame, nodes: DataFrame) -> DataFrame:
