@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provspark.operators import lookup
+from provspark.operators import lookup, pairing
+from provspark.session import kept
 
 #: Edges that one deal of a callee's name makes.
 PAIRS = 2_000_000
@@ -32,23 +33,15 @@ def callers(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     return calls.join(best, at).select("call", F.col("best.from_uid").alias("from_uid"), "callee", "file_path", "line")
 
 
-def _all_with_all(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """a joined with b. A key is dealt by the pairs it makes: its rows of a to one deal each, those of b to every deal, and no deal makes many more than PAIRS. Tasks are not merged by what they read, which is little beside what they write."""
-    pairs = F.ceil(F.col("_a") * F.col("_b") / PAIRS)
-    sizes = a.groupBy(*on).agg(F.count("*").alias("_a")).join(b.groupBy(*on).agg(F.count("*").alias("_b")), on).select(*on, F.least("_a", pairs).cast("int").alias("_deals"))
-    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = a.join(sizes, on).withColumn("_deal", F.pmod(F.xxhash64(*a.columns), "_deals").cast("int")).drop("_deals")
-    every = b.join(sizes, on).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
-    return dealt.repartition(tasks, *on, "_deal").join(every.repartition(tasks, *on, "_deal"), [*on, "_deal"]).drop("_deal")
-
-
 def call_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """`uses` from each call's symbol to the symbols of the callee's name: those of its own file where there are any, else all. A uid has one name, so no edge is met twice."""
-    found = callers(calls, nodes).select("from_uid", "callee", "file_path", "line").distinct()
+    # Calls repeat; each different one is looked up once, and what is found is read three times.
+    different = calls.select("caller", "callee", "file_path", "line").distinct().withColumn("call", F.lit(None))
+    found = kept(callers(different, nodes).select("from_uid", "callee", "file_path", "line").distinct(), "calls")
     to = nodes.select(F.col("uid").alias("to_uid"), F.col("name").alias("callee"), "file_path").distinct()
     # A call with a namesake in its file meets those of that file alone; only the others meet all of the name.
-    local = _all_with_all(found, to, ["callee", "file_path"])
-    abroad = _all_with_all(found.join(to.select("callee", "file_path").distinct(), ["callee", "file_path"], "left_anti"), to.drop("file_path").distinct(), ["callee"])
+    local = pairing.all_with_all(found, to, ["callee", "file_path"], PAIRS)
+    abroad = pairing.all_with_all(found.join(to.select("callee", "file_path").distinct(), ["callee", "file_path"], "left_anti"), to.drop("file_path").distinct(), ["callee"], PAIRS)
     cols = ["from_uid", "to_uid", F.lit("uses").alias("kind"), "file_path", "line"]
     return local.select(*cols).unionByName(abroad.select(*cols)).filter("from_uid <> to_uid")
 

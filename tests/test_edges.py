@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from provspark.operators import graph, lookup
+from pyspark.sql import functions as F
+
+from provspark.operators import graph, lookup, pairing
 
 CALLS, NODES = "call string, caller string, callee string, file_path string, line int", "uid string, name string, file_path string, line_start int, line_end int"
 
@@ -35,3 +37,24 @@ def test_equal_calls_and_stretches_meet_once(spark, monkeypatch):
     nodes = spark.createDataFrame([(f"u{i:03}", "a", "x.py", 1, 9) for i in range(300)] + [("v", "b", "x.py", 20, 21)], NODES)
     assert [tuple(r) for r in graph.call_edges(calls, nodes).collect()] == [("u000", "v", "uses", "x.py", 4)]
     assert met == [2]  # one place, two stretches
+
+
+@pytest.mark.parametrize(("x", "y"), [(400, 300), (300, 400), (1, 900), (900, 1)])
+def test_both_sides_of_a_key_are_dealt(spark, x, y):
+    """Each pair once, no more rows than some twice the root of deals and pairs, and no deal far over its pairs."""
+    a, b = spark.range(x).selectExpr("1 as k", "id as a"), spark.range(y).selectExpr("1 as k", "id as b")
+    assert pairing.all_with_all(a, b, ["k"], 1000).distinct().count() == x * y
+    p, q = spark.range(1).select(*pairing.grid(F.lit(x), F.lit(y), 1000)).first()
+    assert p * q <= 2 * x * y / 1000 + 2 and -(-x // p) * -(-y // q) <= 1500
+    sent = x * q + y * p
+    assert sent <= (2.5 * (x * y * (x * y / 1000)) ** 0.5 if min(x, y) > 1 else x + y + 1)
+
+
+def test_calls_that_repeat_are_looked_up_once(spark, monkeypatch):
+    """90 equal calls are one row where calls meet the symbol about them, and where edges are told."""
+    asked, callers = [], graph.callers
+    monkeypatch.setattr(graph, "callers", lambda c, n: asked.append(c.count()) or callers(c, n))
+    calls = spark.createDataFrame([(f"c{i}", "a", "b", "x.py", 4) for i in range(90)], CALLS)
+    nodes = spark.createDataFrame([("u", "a", "x.py", 1, 9), ("v", "b", "y.py", 20, 21)], NODES)
+    assert [tuple(r) for r in graph.call_edges(calls, nodes).collect()] == [("u", "v", "uses", "x.py", 4)]
+    assert asked == [1]
